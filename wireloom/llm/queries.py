@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, secret_scan, simhash, url_filter
-from .common import table
+from . import bpe, embedding_dedup, gif_media, mixing, quality, secret_scan, simhash, token_store, url_filter, warc
+from .common import new_path, table
+
+
+def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.resolved(warc.read(spark, folder))
+
+
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.stored(table(spark, sf_dir, "documents"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +36,18 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    files = token_store.write(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), new_path(spark, "tokens"))
+    return token_store.read(spark, files)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,7 +63,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to its function."""
-    return {f.__name__: f for f in (op4_bpe, op5_mix, op8_simhash, op9_url_filter, op10_secrets)}
+    return {f.__name__: f for f in (op1_embedding, op2_warc, op3_gif, op4_bpe, op5_mix, op6_quality, op7_tokens, op8_simhash, op9_url_filter, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,6 +25,8 @@ from .components import Forest, components
 #: Rows of a bucket that one task compares at a time; larger buckets are dealt
 #: out as pairs of blocks of about this many rows, all of which are compared.
 BLOCK = 2048
+#: Ids to leave out up to which they go to every executor whole (8 bytes each).
+DROP_BOUND = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -206,5 +208,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     repeated rows with one id, all are kept or none.
     """
     drop = near_duplicates(docs, id_col, text_col, most).filter(F.col(id_col) != F.col("component_id"))
-    drop = drop.select(F.col(id_col).alias("__wl_drop")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("__wl_drop"), "left_anti")
+    drop = common.written(drop.select(F.col(id_col).alias("__wl_drop")).distinct(), "simhash-drop")
+    hint = F.broadcast(drop) if drop.count() <= DROP_BOUND else drop
+    return docs.join(hint, docs[id_col] == F.col("__wl_drop"), "left_anti")
