@@ -79,7 +79,7 @@ def mixed(rows: DataFrame, source_col: str = "source", size_col: str = "size", i
     src = F.col(source_col)
     rows = rows.withColumn(size_col, F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
     rows = rows.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), src, F.col(size_col)))
-    rows = rows.withColumn("__range", F.shiftrightunsigned("__key", 64 - (ranges - 1).bit_length()).cast("int"))
+    rows = rows.withColumn("__range", F.shiftright("__key", 64 - (ranges - 1).bit_length()).cast("int"))
     rows = common.written(rows, "mix")
     sums = common.written(rows.groupBy(src.alias("__s"), F.col("__range").alias("__r")).agg(F.sum(size_col).alias("__n")), "mix-sums")
     sizes = [(r[0], int(r[1])) for r in sums.groupBy("__s").agg(F.sum("__n")).collect()]
