@@ -37,8 +37,8 @@ REVISIT_LEAST = 100
 CHUNK = 8 << 20
 #: Longer headers aren't records.
 HEADER_MOST = 64 << 10
-#: Rows of a table of repeats up to which it goes to every executor whole (about 40 bytes each).
-REPEATS_BOUND = 500_000
+#: Rows of a table of repeats up to which it goes to every executor whole (some 200 bytes each).
+REPEATS_BOUND = 200_000
 
 
 def _header(name: str, value: Column) -> Column:
@@ -49,24 +49,46 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(name + ": "), safe, F.lit("\r\n")), F.lit(""))
 
 
+def _roles(rows: DataFrame) -> DataFrame:
+    """(rid, rurl, rdigest, of, copies) of the different (id, url, digest) that share a payload.
+
+    ``of`` is the id of the payload's holder; null for the holder itself, which is
+    listed only if ``copies`` rows agree in all three.
+    """
+    seen = rows.filter(F.col("size") >= REVISIT_LEAST).groupBy("digest", "id", "url").agg(F.count("*").alias("copies"))
+    seen = common.written(seen, "warc-digests")
+    order = F.struct(F.col("id").isNull().alias("n"), "id", F.col("url").isNull().alias("u"), "url")
+    first = seen.groupBy("digest").agg(F.min(order).alias("first"), F.sum("copies").alias("rows")).filter("rows > 1")
+    mine = F.col("id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    of = F.when(~mine, F.coalesce(F.col("first.id").cast("string"), F.lit("null")))
+    out = seen.join(first, "digest").filter(~mine | (F.col("copies") > 1))
+    return common.written(out.select(F.col("id").alias("rid"), F.col("url").alias("rurl"), F.col("digest").alias("rdigest"), of.alias("of"), "copies"), "warc-repeats")
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """(record): the text of a WARC record per row, without the two empty lines at its end.
 
     Among rows of equal payloads of REVISIT_LEAST bytes or more the one with the
-    smallest id holds it (of rows that share that id, one); the others are
-    revisits that refer to it.  A null id comes after all others, a null
-    payload is empty.  Payloads are compared by SHA-256 and length.  Only
-    digests are shuffled, unless the table of repeats is over REPEATS_BOUND rows.
+    smallest id holds it (of rows that share that id, the one with the smallest
+    URL; of wholly equal rows, one); the others are revisits that refer to it.
+    A null id comes after all others, a null payload is empty.  Payloads are
+    compared by SHA-256.  Only digests are shuffled, unless the table of repeats
+    is over REPEATS_BOUND rows; holders that stand there more than once are brought
+    together as one row with a count.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    seen = common.written(rows.filter(F.col("size") >= REVISIT_LEAST).select("uid", "id", "digest"), "warc-digests")
-    first = seen.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "uid")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    repeats = seen.join(first.select("digest", "first"), "digest").filter("uid <> first.uid")
-    repeats = common.written(repeats.select(F.col("uid").alias("ruid"), F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias("of")), "warc-repeats")
-    hint = F.broadcast(repeats) if repeats.count() <= REPEATS_BOUND else repeats
-    rows = rows.join(hint, F.col("uid") == F.col("ruid"), "left")
+    roles = _roles(rows)
+    counts = roles.agg(F.count("*"), F.count(F.when(F.col("of").isNull(), 1))).head()
+    hint = F.broadcast(roles) if counts[0] <= REPEATS_BOUND else roles
+    same = F.col("id").eqNullSafe(F.col("rid")) & F.col("url").eqNullSafe(F.col("rurl")) & (F.col("digest") == F.col("rdigest"))
+    rows = rows.join(hint, same, "left").select("id", "url", "payload", "size", "digest", "of", "copies")
+    if counts[1]:
+        held = F.col("copies").isNotNull() & F.col("of").isNull()
+        twice = rows.filter(held).groupBy("id", "url", "size", "digest").agg(F.first("payload").alias("payload"), F.first("copies").alias("copies"))
+        twice = twice.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        twice = twice.withColumn("of", F.when(F.col("k") > 1, F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+        rows = rows.filter(~held).unionByName(twice.drop("k"))
     again = F.col("of").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), _header("Content-Length", F.col("size")), F.lit("\r\n"))
     block = F.when(again, http).otherwise(F.concat(http, F.col("payload")))
