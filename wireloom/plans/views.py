@@ -77,12 +77,12 @@ q AS (
     e = 'click' AND v % 8 = 0 AS is_syn, 'd' || (k % 13) || '.example.com' AS qname
   FROM b),
 p AS (
-  SELECT n AS number, ts, epoch_ms(ts) AS ms, epoch_us(ts) AS us, u, k, v, e, o, is_arp, is_icmp, is_udp, is_tcp, is_syn, host, remote, hport, rport, qname,
+  SELECT n AS number, ts, (epoch_us(ts) // 1000) AS ms, epoch_us(ts) AS us, u, k, v, e, o, is_arp, is_icmp, is_udp, is_tcp, is_syn, host, remote, hport, rport, qname,
     CASE WHEN o OR is_arp THEN host ELSE remote END AS src, CASE WHEN o OR is_arp THEN remote ELSE host END AS dst, CASE WHEN o THEN hport ELSE rport END AS sport, CASE WHEN o THEN rport ELSE hport END AS dport,
     1000 + 64 * (n + 3000 * ((k // 4) % 2)) AS seq, 1000 + 64 * n AS ack,
     CASE WHEN is_syn AND o THEN '[SYN]' WHEN is_syn THEN '[SYN, ACK]' WHEN e <> 'error' THEN '[ACK, PSH]' WHEN (k // 4) % 2 = 1 THEN '[RST]' ELSE '[ACK, FIN]' END AS flags,
     is_tcp AND e = 'error' AND (k // 4) % 2 = 1 AS rst, is_tcp AND e = 'error' AND (k // 4) % 2 = 0 AS fin,
-    CASE WHEN e = 'purchase' AND o THEN length('GET /item/' || k || ' HTTP/1.1  Host: shop' || (k % 7) || '.example.com  ') + CASE WHEN k % 10 = 0 THEN 28 ELSE 0 END + 2
+    CASE WHEN e = 'purchase' AND o THEN length('GET /item/' || k || ' HTTP/1.1  Host: shop' || (k % 7) || '.example.com  ') + CASE WHEN k % 10 = 0 THEN 27 ELSE 0 END + 2
          WHEN e = 'purchase' THEN length('HTTP/1.1 200 OK  Content-Length: ' || v) + 4 WHEN e = 'click' AND NOT is_syn THEN v % 64 ELSE 0 END AS plen,
     12 + length(qname) + 2 + 4 + CASE WHEN o THEN 0 ELSE 16 END AS dnslen
   FROM q),
@@ -121,7 +121,7 @@ def flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS_SQL = r"""
 fb AS (SELECT event_id AS n, ts, user_id AS u, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS v, user_id % 20 AS app FROM events),
 f AS (
-  SELECT n AS seq, epoch_ms(ts) AS ts_ms, CASE WHEN k % 25 <> 24 THEN '/bin/app' || app END AS exe, CASE WHEN k % 25 <> 24 THEN 'app' || app END AS proc_name, CASE WHEN k % 25 <> 24 THEN app + 100 END AS pid,
+  SELECT n AS seq, (epoch_us(ts) // 1000) AS ts_ms, CASE WHEN k % 25 <> 24 THEN '/bin/app' || app END AS exe, CASE WHEN k % 25 <> 24 THEN 'app' || app END AS proc_name, CASE WHEN k % 25 <> 24 THEN app + 100 END AS pid,
     '93.184.' || (k % 10) || '.' || (u % 50) AS dest_ip, CASE WHEN k % 3 <> 0 THEN 'h' || (k % 7) || '.site' || (u % 9) || CASE WHEN u % 2 = 0 THEN '.co.uk' ELSE '.com' END END AS name,
     CASE WHEN k % 3 <> 0 THEN 'site' || (u % 9) || CASE WHEN u % 2 = 0 THEN '.co.uk' ELSE '.com' END END AS domain, CASE WHEN k % 5 <> 0 THEN n_name END AS country,
     CASE WHEN k % 4 = 0 THEN 1000 + k END AS asn, CASE WHEN k % 8 = 0 THEN 'ORG' || (k % 6) END AS as_org, n % 3 <> 0 AS outbound,
