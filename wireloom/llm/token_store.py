@@ -15,6 +15,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -145,7 +146,33 @@ class TokenFile:
 # Fixed value: how byte-level tokenizers of this kind split a text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens a worker remembers; a full memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
+
+
+def byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in a byte-level vocabulary, as a translation table.
+
+    A printable byte stands for itself; the others take the code points from
+    256 on, in order.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in plain else next(others) for b in range(256)}
+
+
+class _Known(dict):
+    """Pre-token to the bytes of its ids; asks the library's model for a new one."""
+
+    def __init__(self, model, kind: str) -> None:
+        super().__init__()
+        self.ask, self.kind, self.letters = model.tokenize, kind, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        self[piece] = ids = array(self.kind, [t.id for t in self.ask(spelled)]).tobytes()
+        return ids
 
 
 class LibraryEncoder:
@@ -153,8 +180,8 @@ class LibraryEncoder:
 
     Where the tokenizer is byte-level with the usual split and nothing before
     or after it, a text's ids are those of its pre-tokens one after another, so
-    each different pre-token is asked for once.  Any other tokenizer gets
-    whole texts.
+    the library's model is asked once for each different pre-token.  Any other
+    tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -174,24 +201,14 @@ class LibraryEncoder:
         self.wide = self.lib.get_vocab_size() > 65536
         self.kind = np.uint32 if self.wide else np.uint16
         self.split = regex.compile(SPLIT).findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.lib.model, "I" if self.wide else "H")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids."""
         if not self.by_piece:
             return [np.array(e.ids, self.kind) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-        known, out = self.known, []
-        for at in range(0, len(texts), 64):
-            pieces = [self.split(t) for t in texts[at : at + 64]]
-            new = list(set().union(*pieces).difference(known))
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set().union(*pieces))
-            if new:
-                for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-                    known[p] = np.array(e.ids, self.kind).tobytes()
-            out += [np.frombuffer(b"".join([known[p] for p in x]), self.kind) for x in pieces]
-        return out
+        of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(of, self.split(t))), self.kind) for t in texts]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
