@@ -18,7 +18,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(root / "warehouse"))
         .config("spark.checkpoint.dir", f"file://{root}/shared")
-        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "4")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
