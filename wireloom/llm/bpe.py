@@ -26,7 +26,7 @@ from . import common
 LEAF = 10
 MASK = (1 << LEAF) - 1
 #: Pre-tokens a worker remembers; a full memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Longer pre-tokens (in code points) are encoded each time.
 REMEMBER_LONGEST = 64
 
@@ -179,7 +179,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _encode(path: str, pattern: str, keep: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
+        for b in common.sliced(batches):
             n, ids_sha, text_sha, kept = [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t or "")

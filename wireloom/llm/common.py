@@ -84,6 +84,13 @@ def shipped(spark: SparkSession) -> None:
     sc.setLocalProperty(_SHIPPED, sc.applicationId)
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches in slices of a few rows, so that a worker never holds a whole batch of long texts as objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -294,7 +294,7 @@ def read_back(media: bytes) -> tuple[bytes, str]:
 
 
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.sliced(batches):
         out = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for t in b.column(1).to_pylist():
             payload, n = payload_of(t)
@@ -325,7 +325,7 @@ def _frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hist = pa.list_(pa.int64())
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), hist, hist, hist]
     names = ["frame", "start_cs", "delay_cs", "left", "top", "width", "height", "samples", "red", "green", "blue"]
-    for b in batches:
+    for b in common.sliced(batches, 16):
         for id_, data in zip(b.column(0), b.column(1).to_pylist()):
             try:
                 found = decode(data or b"")

@@ -119,7 +119,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.sliced(batches):
         x = [features(t).tolist() for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -153,7 +153,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def _score(model: Ranker):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches):
             x = np.array([features(t) for t in b.column(0).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([pa.array(model.score(x)), *[b.column(i) for i in range(1, b.num_columns)]], names=["score", *b.schema.names[1:]])
 
@@ -178,7 +178,7 @@ def kept(docs: DataFrame, model: Ranker, text_col: str = "text", cut: float = CU
     common.shipped(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches):
             x = np.array([features(t) for t in b.column(b.schema.names.index(text_col)).to_pylist()]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(model.score(x) >= cut))
 

@@ -58,7 +58,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for b in batches:
+    for b in common.sliced(batches):
         rows = [[dict(zip(("kind", "start", "end"), s)) for s in spans(t or "")] for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["blob", "spans"])
 
@@ -98,9 +98,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
         seen = ledger.filter(F.col("version") == version).select(F.col("blob").alias("__seen")).distinct()
     # rows to pass over: every holder of a blob but the first, and all holders of a seen one
     again = blobs.filter("__n > 1").select("__blob", "__first")
-    skip = paths.join(again, "__blob").filter(~F.col("__id").eqNullSafe(F.col("__first"))).select(F.col("__id").alias("__sid"), F.col("__blob").alias("__sblob")).distinct()
+    skip = paths.join(again, "__blob").filter(~F.col("__id").eqNullSafe(F.col("__first"))).select(F.col("__id").alias("__sid"), F.col("__blob").alias("__sblob"))
     if seen is not None:
-        skip = skip.union(paths.join(seen, paths["__blob"] == seen["__seen"], "left_semi").select("__id", "__blob")).distinct()
+        skip = skip.union(paths.join(seen, paths["__blob"] == seen["__seen"], "left_semi").select("__id", "__blob"))
     skip = common.written(skip, "skip")
     small = skip.count() <= SKIP_BOUND
     todo = rows.join(
@@ -142,7 +142,7 @@ def mask(text: str, at: list[tuple[str, int, int]]) -> str:
 
 
 def _mask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.sliced(batches):
         at = b.column(1).to_pylist()
         texts = b.column(0).to_pylist()
         new = [t if t is None or not s else mask(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts, at)]

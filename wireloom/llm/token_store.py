@@ -146,7 +146,7 @@ class TokenFile:
 # Fixed value: how byte-level tokenizers of this kind split a text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens a worker remembers; a full memory starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 700_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -230,9 +230,7 @@ def _write(tokenizer: str, folder: str, end_id: int):
         encoder = library_encoder(tokenizer)
         end = np.array([end_id], encoder.kind)
         writer, part, tmp = None, 0, ""
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in common.sliced(batches):
             if writer is None:
                 part = b.column(0)[0].as_py()
                 tmp = f"{base}/_tmp/{part:06d}-{uuid.uuid4().hex}"
