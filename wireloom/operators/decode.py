@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.bytes import cut, mac_text
-from ..session import ship
+from ..session import ship, spread
 from . import app
 
 RAW = "number long, ts timestamp, wire_len long, data binary, linktype int"
@@ -236,7 +236,7 @@ def layered(raw: DataFrame, want: Iterable[str]) -> DataFrame:
     types = _types(names)
     schema = StructType([*raw.schema.fields, *from_arrow_schema(types).fields])
     arrow = to_arrow_schema(schema)
-    return raw.mapInArrow(_decode(arrow, frozenset(names), names), schema)
+    return spread(raw).mapInArrow(_decode(arrow, frozenset(names), names), schema)
 
 
 def headers(raw: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "wireloom", **config: str) -> SparkSession:
@@ -41,3 +41,21 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent).as_posix())
     sc.addPyFile(str(out))
     sc.setLocalProperty("wireloom.ship", sc.applicationId)
+
+
+#: Inputs up to this size may be dealt out anew before work that takes long a row.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it is small and comes in fewer parts than there are cores.
+
+    A small table is often one row group of one file, which one task would
+    read and work through alone.  Anything larger comes in enough splits and is
+    left as it is, so nothing of size is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if df.isStreaming or size > SMALL or df._jdf.toJavaRDD().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
