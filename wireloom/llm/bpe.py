@@ -210,7 +210,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
-    return rows.mapInArrow(_encode(path, pattern, keep_ids), schema).withColumnRenamed("id", id_col)
+    return common.spread(rows).mapInArrow(_encode(path, pattern, keep_ids), schema).withColumnRenamed("id", id_col)
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

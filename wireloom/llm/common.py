@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship as shipped
+from ..session import spread
+
+__all__ = ["WORD_PATTERN", "dropped", "file_system", "new_path", "shared_dir", "shipped", "sliced", "spread", "table", "written"]
+
 #: Words are runs of anything but these six ASCII blanks; ``bytes.split()``
 #: splits on exactly the same set.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_SHIPPED = "wireloom.shipped"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
@@ -64,26 +64,6 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def shipped(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers, once a session.
-
-    The package travels through Spark's own file server, so executors need no
-    copy of the repository.
-    """
-    sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED) == sc.applicationId:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp()) / f"wireloom-{uuid.uuid4().hex[:8]}.zip"
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent).as_posix())
-    out.write_bytes(raw.getvalue())
-    sc.addPyFile(str(out))
-    sc.setLocalProperty(_SHIPPED, sc.applicationId)
-
-
 def sliced(batches, rows: int = 256):
     """Arrow batches in slices of a few rows, so that a worker never holds a whole batch of long texts as objects."""
     for b in batches:

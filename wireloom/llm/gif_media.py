@@ -315,7 +315,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     common.shipped(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInArrow(_store, schema).withColumnRenamed("id", id_col)
+    return common.spread(rows).mapInArrow(_store, schema).withColumnRenamed("id", id_col)
 
 
 FRAMES = "id {0}, frame int, start_cs long, delay_cs long, left int, top int, width int, height int, samples binary, red array<long>, green array<long>, blue array<long>"

@@ -169,7 +169,7 @@ def scored(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str
     """
     common.shipped(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    out = rows.mapInArrow(_score(model), f"score double, id {dict(rows.dtypes)['id']}")
+    out = common.spread(rows).mapInArrow(_score(model), f"score double, id {dict(rows.dtypes)['id']}")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -182,4 +182,4 @@ def kept(docs: DataFrame, model: Ranker, text_col: str = "text", cut: float = CU
             x = np.array([features(t) for t in b.column(b.schema.names.index(text_col)).to_pylist()]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(model.score(x) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.spread(docs).mapInArrow(run, docs.schema)

@@ -108,7 +108,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
         F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__blob") == F.col("__sblob")),
         "left_anti",
     )
-    new = todo.select(F.col("__blob").alias("blob"), "__text").mapInArrow(_scan, f"blob string, spans {SPANS}")
+    new = todo.select(F.col("__blob").alias("blob"), "__text")
+    new = common.spread(new).mapInArrow(_scan, f"blob string, spans {SPANS}")
     new = common.written(new.dropDuplicates(["blob"]).select("blob", F.lit(version).alias("version"), "spans"), "ledger")
     out = new if ledger is None else ledger.select("blob", "version", "spans").unionByName(new)
     return paths.select(F.col("__id").alias(id_col), F.col("__blob").alias("blob")), out

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint of every row as a signed long; one row each."""
     common.shipped(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, seed), "id long, fp long")
+    return common.spread(rows).mapInArrow(_fingerprints(shingle, seed), "id long, fp long")
 
 
 def _keys(fp):

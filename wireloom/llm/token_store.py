@@ -254,7 +254,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
     """Token-id files of ``docs`` in ascending id order over all files: [(path, n_docs, n_ids, ids before)].
 
     The documents are dealt out by ranges of their id (null first), one file a
-    range, as many as the input has partitions unless ``files`` says otherwise;
+    range, as many as the input has partitions (or the cluster cores, if that is more) unless ``files`` says otherwise;
     repeated ids stand together, ordered by text.  A task streams its ids
     to a file of its own name and renames it when whole.  The list has a row
     per file of some tens of MB, which is what the driver holds.
@@ -262,7 +262,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
     spark = docs.sparkSession
     common.shipped(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = files or max(1, rows._jdf.toJavaRDD().getNumPartitions())
+    n = files or max(rows._jdf.toJavaRDD().getNumPartitions(), spark.sparkContext.defaultParallelism)
     rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "id", "text")
     done = rows.mapInArrow(_write(tokenizer, folder, end_id), "part int, path string, n_docs long, n_ids long")
