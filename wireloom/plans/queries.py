@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fingerprint
 from ..functions.bytes import ip_text, ipv4_bytes, is_global
 from ..functions.text import byte_size, dns_type_name, hex_dump, protocol_name, registrable_domain
-from ..operators import alerts, anomaly, correlate, diff, flows, reassembly, stats, store
+from ..operators import alerts, anomaly, correlate, diff, flows, monitor, reassembly, stats, store
 from ..operators.decode import decode, flags_text
 from ..operators.flows import flow_packets
 from . import bpf, display_filter, views
@@ -685,6 +685,39 @@ def json_lines(spark, sf_dir):
     return sink.lines(_packets(spark, sf_dir))
 
 
+@query()
+def detail_lines(spark, sf_dir):
+    from ..functions import detail
+
+    packets = _packets(spark, sf_dir, False)
+    return packets.select("number", F.array_join(detail.lines(packets), "\n").alias("detail"))
+
+
+def _monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames through the whole chain, with sockets of the 10.x hosts and the nations as places."""
+    packets = _packets(spark, sf_dir, False)
+    raw = views.numbers(views.table(spark, sf_dir, "events"))
+    host = F.unhex(F.concat(F.lit("0A00"), F.lpad(F.hex(F.floor(F.col("u") / 256)), 2, "0"), F.lpad(F.hex(F.col("u") % 256), 2, "0")))
+    port = (50000 + F.col("u") % 15000).cast("int")
+    seen = raw.groupBy("u").agg(F.min("ts").alias("ts"))
+    sockets = seen.select("ts", F.lit(6).alias("protocol"), host.alias("addr"), port.alias("port"), (F.col("u") % 20 + 100).alias("pid"), F.concat(F.lit("app"), (F.col("u") % 20).cast("string")).alias("name"), F.lit(None).cast("string").alias("exe_path"))
+    return monitor.flow_events(packets, None, sockets, *_ranges(spark, sf_dir))
+
+
+@query(
+    R
+    + """, fl AS (SELECT key, incarnation, min(number) AS id FROM an GROUP BY ALL), fu AS (SELECT u, min(ts) AS t0 FROM b GROUP BY u)
+    SELECT an.number AS seq, fl.id, CASE WHEN is_tcp AND o THEN 'pid:' || (an.u % 20 + 100) END AS exe, dst AS dest_ip, wire_len AS bytes_up, 0::BIGINT AS bytes_down, TRUE AS outbound, incarnation FROM an JOIN fl USING (key, incarnation)"""
+)
+def monitor_events(spark, sf_dir):
+    return _monitored(spark, sf_dir).select("seq", "id", "exe", "dest_ip", "bytes_up", "bytes_down", "outbound", "incarnation")
+
+
+@query()
+def monitor_alerts(spark, sf_dir):
+    return alerts.alerts(_monitored(spark, sf_dir), CONFIG)
+
+
 def queries() -> dict[str, Query]:
     """Name to function of all registered queries."""
     return dict(QUERIES)
