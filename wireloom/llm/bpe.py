@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of a leaf word of the bitmap.
-LEAF = 10
+#: Bits of a leaf word of the bitmap; its top word has about as many for a vocabulary of 50,000.
+LEAF = 8
 MASK = (1 << LEAF) - 1
-#: Pre-tokens a worker remembers; a full memory starts anew.
-REMEMBERED = 400_000
+BIT = [1 << i for i in range(4096)]
+#: Pre-tokens a worker remembers at most.  The memory has two halves: when the
+#: young one is full it becomes the old one, and what is met again moves back.
+REMEMBERED = 600_000
 #: Longer pre-tokens (in code points) are encoded each time.
 REMEMBER_LONGEST = 64
 
@@ -41,6 +44,8 @@ class RankQueue:
     """Buckets of positions by rank, with the lowest rank at hand."""
 
     def __init__(self, ranks: int) -> None:
+        if ranks >> LEAF >= len(BIT):
+            raise ValueError(f"two levels serve {len(BIT) << LEAF} ranks, not {ranks}")
         self.leaf = [0] * ((ranks >> LEAF) + 1)
         self.top = 0
         self.bucket: dict[int, list[int]] = {}
@@ -52,13 +57,14 @@ class RankQueue:
             return
         self.bucket[rank] = [at]
         word = rank >> LEAF
-        self.leaf[word] |= 1 << (rank & MASK)
+        self.leaf[word] |= BIT[rank & MASK]
         self.top |= 1 << word
 
     def pop(self) -> tuple[int, int] | None:
         """The lowest rank with its leftmost position, or None.
 
-        :func:`encode_piece` has the same steps written out, for speed.
+        :func:`encode_piece` has the same steps written out, for speed, with the
+        top word in a local variable; it leaves the queue empty.
         """
         top = self.top
         if not top:
@@ -83,39 +89,54 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue | None
         return [whole]
     n = len(piece)
     queue = queue or RankQueue(max(ranks.values()) + 1)
-    get, push = ranks.get, queue.push
+    get, leaf, bucket, bit = ranks.get, queue.leaf, queue.bucket, BIT
     nxt = list(range(1, n + 2))  # where the token at a position ends
     prv = list(range(-1, n))
     pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts here
-    pair += (-1, -1)
+    top = 0
     for i, r in enumerate(pair):
         if r >= 0:
-            push(r, i)
-    leaf, bucket = queue.leaf, queue.bucket
-    while top := queue.top:
+            held = bucket.get(r)
+            if held is None:
+                bucket[r] = [i]
+                word = r >> LEAF
+                leaf[word] |= bit[r & MASK]
+                top |= bit[word]
+            else:
+                held.append(i)  # ascending, so it is a heap
+    pair += (-1, -1)
+    while top:
         # find-first-set, in the top word and then in its leaf
         word = (top & -top).bit_length() - 1
         low = leaf[word]
-        rank = (word << LEAF) + (low & -low).bit_length() - 1
+        first = low & -low
+        rank = (word << LEAF) + first.bit_length() - 1
         held = bucket[rank]
-        at = heappop(held)
-        if not held:
+        if len(held) > 1:
+            at = heappop(held)
+        else:
+            at = held[0]
             del bucket[rank]
-            low &= low - 1
-            leaf[word] = low
+            leaf[word] = low = low ^ first
             if not low:
-                queue.top = top & (top - 1)
+                top &= top - 1
         if pair[at] != rank:
             continue  # stale
         mid = nxt[at]
-        end = nxt[mid]
-        nxt[at] = end
+        nxt[at] = end = nxt[mid]
         pair[mid] = -1
         if end < n:
             prv[end] = at
             pair[at] = r = get(piece[at : nxt[end]], -1)
             if r >= 0:
-                push(r, at)
+                held = bucket.get(r)
+                if held is None:
+                    bucket[r] = [at]
+                    word = r >> LEAF
+                    leaf[word] |= bit[r & MASK]
+                    top |= bit[word]
+                else:
+                    heappush(held, at)
         else:
             pair[at] = -1
         if at:
@@ -124,7 +145,14 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue | None
             if r != pair[before]:
                 pair[before] = r
                 if r >= 0:
-                    push(r, before)
+                    held = bucket.get(r)
+                    if held is None:
+                        bucket[r] = [before]
+                        word = r >> LEAF
+                        leaf[word] |= bit[r & MASK]
+                        top |= bit[word]
+                    else:
+                        heappush(held, before)
     out, at = [], 0
     while at < n:
         end = nxt[at]
@@ -133,6 +161,10 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue | None
     return out
 
 
+#: Packers of short lists of ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
+
+
 class Codec:
     """Encodes whole texts and decodes ids; remembers a bounded number of pre-tokens."""
 
@@ -144,20 +176,24 @@ class Codec:
             self.tokens[i] = t
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(self.size)
-        self.most = remembered
+        self.most = max(1, remembered // 2)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = np.array(encode_piece(piece.encode("utf-8"), self.ranks, self.queue), "<u4").tobytes()
+        ids = self.known.get(piece) or self.old.get(piece)
+        if ids is None:
+            got = encode_piece(piece.encode("utf-8"), self.ranks, self.queue)
+            ids = _PACK[len(got)](*got) if len(got) < len(_PACK) else np.array(got, "<u4").tobytes()
         if len(piece) <= REMEMBER_LONGEST:
             if len(self.known) >= self.most:
-                self.known.clear()
+                self.old, self.known = self.known, {}
             self.known[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        get, piece = self.known.get, self._piece
+        get, piece = self.known.get, self._piece  # if the halves turn over meanwhile, _piece finds the rest
         return b"".join([get(p) or piece(p) for p in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
