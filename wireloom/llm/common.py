@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +19,17 @@ __all__ = ["WORD_PATTERN", "dropped", "file_system", "new_path", "shared_dir", "
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+_local: list[str] = []
+
+
+def _local_dir() -> str:
+    """This process's temporary folder, removed when the process ends."""
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="wireloom-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return "file://" + _local[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
@@ -28,9 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] == "local":
-            base = "file://" + os.path.join(tempfile.gettempdir(), "wireloom-shared")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wireloom_shared"
+            return _local_dir()
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wireloom_shared"
     return base.rstrip("/")
 
 
