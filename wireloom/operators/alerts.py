@@ -3,7 +3,7 @@
 An event is (seq, ts_ms, exe, proc_name, pid, dest_ip, dest_port, local_port, protocol,
 name, country, asn, as_org, bytes_up, bytes_down, outbound, identity), with ``identity`` a
 struct (kind, value, signing_id, team_id, authority, status) or null.  First-seen
-signals are aggregates (the event with the lowest number per key), not windows,
+signals are one aggregate (the event with the lowest number per key), not windows,
 so a busy process is combined before the exchange; only the volume baseline
 and the cooldown are ordered folds.
 """
@@ -99,18 +99,29 @@ def destination_ids(events: DataFrame) -> DataFrame:
     return first.select("dest_ip", F.row_number().over(Window.orderBy("_first")).cast("long").alias("dest_id"))
 
 
-def _firsts(events: DataFrame, *keys: str) -> DataFrame:
-    """The first event of each key, whole."""
-    columns = events.columns
-    return events.groupBy(*keys).agg(F.min_by(F.struct(*columns), "seq").alias("_e")).select("_e.*")
+#: The first-seen signals: what is new, and its place in the order of signals.
+NOVEL = {1: "process", 3: "label", 4: "country", 5: "network"}
 
 
-def _candidate(rows: DataFrame, order: int, kind: str, severity: Column, key: Column, title: Column, **detail: Column) -> DataFrame:
-    names = sorted(detail)
-    text = F.to_json(F.struct(*[detail[n].alias(n) for n in names]), {"ignoreNullFields": "false"})
-    return rows.select(
-        "seq", F.lit(order).alias("step"), F.lit(kind).alias("kind"), severity.alias("severity"), "ts_ms", "process_id", "dest_id", key.alias("dedup_key"), title.alias("title"), text.alias("detail")
-    )
+def novelties(events: DataFrame) -> DataFrame:
+    """The first event of every program and of every label, country and network of a program.
+
+    One pass and one exchange for all four: an event stands for its keys, and
+    the lowest event of each key is combined before the exchange.  ``step`` is the
+    signal's (see NOVEL), ``key`` what was new.
+    """
+    known = events.filter("exe is not null")
+    key = lambda step, c: F.when(c.isNotNull(), F.struct(F.lit(step).alias("step"), c.cast("string").alias("key")))
+    keys = F.array_compact(F.array(key(1, F.lit("")), key(3, stable_label()), key(4, F.col("country")), key(5, F.col("asn"))))
+    columns = [c for c in events.columns if c != "identity"]
+    rows = known.select(F.explode(keys).alias("_k"), F.struct(*columns).alias("_e"))
+    rows = rows.groupBy(F.col("_e.exe").alias("_x"), "_k.step", "_k.key").agg(F.min_by("_e", F.col("_e.seq")).alias("_e"))
+    return rows.select("_e.*", "step", "key")
+
+
+def _json(**fields: Column) -> Column:
+    """An object with its names in order; nulls stay."""
+    return F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
 def changed(old: Column, new: Column, flag_signed_updates: bool) -> Column:
@@ -196,45 +207,58 @@ def spikes(samples: DataFrame, config: AlertConfig) -> DataFrame:
 def candidates(events: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
     """All alerts before the cooldown: (seq, step, kind, severity, ts_ms, process_id, dest_id, dedup_key, title, detail).
 
-    ``step`` is the order of the signals within one event.
+    ``step`` is the order of the signals within one event.  Ids are joined to the
+    alerts, not to the events.
     """
-    known = events.filter("exe is not null")
-    ids, dests, active = process_ids(events), destination_ids(events), learning(events, config)
-    when = known.join(ids, "exe").join(dests, "dest_ip").crossJoin(F.broadcast(active.select("active_from")))
-    when = when.withColumn("_live", F.col("seq") >= F.col("active_from")).drop("active_from")
-    loud = F.col("_live") & F.col("outbound")
-    c, s = F.col, lambda x: F.col(x).cast("string")
-    cat = F.concat
+    active = learning(events, config).select("active_from")
+    c, cat = F.col, F.concat
+    s = lambda x: F.col(x).cast("string")
     base = {"pid": c("pid"), "exe": c("exe")}
-    out = _candidate(
-        _firsts(when, "exe").filter(loud), 1, "new_process_egress", F.lit("warning"), cat(F.lit("egress|"), c("exe")),
-        cat(c("proc_name"), F.lit(" made its first outbound connection (→ "), dest_label(), F.lit(")")), **base, dest=dest_label(),
-    )
-    moved = identity_changes(when, config).filter(loud)
+    # in front of and behind the program's number in the key; behind alone where the key is by path
+    shape = ["seq", "step", "kind", "severity", "ts_ms", "exe", "dest_ip", "outbound", "front", "behind", "title", "detail"]
+    step, key = c("step"), c("key")
+    org = F.coalesce(cat(F.lit(" ("), c("as_org"), F.lit(")")), F.lit(""))
+    new = novelties(events)
+    new = new.withColumns(
+        {
+            "kind": F.when(step == 1, "new_process_egress").when(step == 3, "new_process_dest").otherwise("new_geo"),
+            "severity": F.when(step == 1, "warning").otherwise("notice"),
+            "front": F.when(step == 3, "dest|").when(step > 3, "geo|"),
+            "behind": F.when(step == 1, cat(F.lit("egress|"), c("exe"))).when(step == 3, cat(F.lit("|"), key)).when(step == 4, cat(F.lit("|cc|"), key)).otherwise(cat(F.lit("|asn|"), key)),
+            "title": cat(
+                c("proc_name"),
+                F.when(step == 1, cat(F.lit(" made its first outbound connection (→ "), dest_label(), F.lit(")")))
+                .when(step == 3, cat(F.lit(" contacted a new destination: "), key))
+                .when(step == 4, cat(F.lit(" connected to a new country: "), key))
+                .otherwise(cat(F.lit(" connected to a new network: AS"), key, org)),
+            ),
+            "detail": F.when(step == 1, _json(**base, dest=dest_label())).when(step == 3, _json(**base, label=key, ip=c("dest_ip"))).when(step == 4, _json(**base, country=c("country"))).otherwise(_json(**base, asn=c("asn"), as_org=c("as_org"))),
+        }
+    )
     who = lambda i: F.struct(c(f"{i}.signing_id").alias("signing"), c(f"{i}.team_id").alias("team"), c(f"{i}.value").alias("value"))
-    out = out.unionByName(_candidate(moved, 2, "identity_change", F.lit("critical"), cat(F.lit("identity|"), c("exe"), F.lit("|"), c("identity.value")), cat(c("proc_name"), F.lit(" binary identity changed since baseline")), **base, old=who("old"), new=who("identity")))
-    labelled = when.withColumn("label", stable_label())
-    out = out.unionByName(
-        _candidate(
-            _firsts(labelled, "exe", "label").filter(loud), 3, "new_process_dest", F.lit("notice"), cat(F.lit("dest|"), s("process_id"), F.lit("|"), c("label")),
-            cat(c("proc_name"), F.lit(" contacted a new destination: "), c("label")), **base, label=c("label"), ip=c("dest_ip"),
-        )
+    moved = identity_changes(events, config).withColumns(
+        {
+            "step": F.lit(2), "kind": F.lit("identity_change"), "severity": F.lit("critical"), "front": F.lit(None).cast("string"), "behind": cat(F.lit("identity|"), c("exe"), F.lit("|"), c("identity.value")),
+            "title": cat(c("proc_name"), F.lit(" binary identity changed since baseline")), "detail": _json(**base, old=who("old"), new=who("identity")),
+        }
     )
-    land = _firsts(when.filter("country is not null"), "exe", "country").filter(loud)
-    out = out.unionByName(_candidate(land, 4, "new_geo", F.lit("notice"), cat(F.lit("geo|"), s("process_id"), F.lit("|cc|"), c("country")), cat(c("proc_name"), F.lit(" connected to a new country: "), c("country")), **base, country=c("country")))
-    net = _firsts(when.filter("asn is not null"), "exe", "asn").filter(loud)
-    org = F.coalesce(cat(F.lit(" ("), c("as_org"), F.lit(")")), F.lit(""))
-    out = out.unionByName(_candidate(net, 5, "new_geo", F.lit("notice"), cat(F.lit("geo|"), s("process_id"), F.lit("|asn|"), s("asn")), cat(c("proc_name"), F.lit(" connected to a new network: AS"), s("asn"), org), **base, asn=c("asn"), as_org=c("as_org")))
     burst = spikes(volume_samples(events, config), config).withColumnRenamed("exe", "_x").withColumnRenamed("seq", "_q")
-    burst = when.filter("_live").join(burst, (c("exe") == c("_x")) & (c("seq") == c("_q")))
+    burst = events.join(burst, (c("exe") == c("_x")) & (c("seq") == c("_q")))
     finite = ~c("z").isin(float("inf"))
     shown = F.when(finite, F.format_string("%.1f", F.bround("z", 1))).otherwise("inf")
     size = F.floor("x").cast("long")
-    volume = _candidate(
-        burst, 6, "volume_spike", c("severity"), cat(F.lit("volume|"), s("process_id")), cat(c("proc_name"), F.lit(" outbound volume spike: "), size.cast("string"), F.lit(" bytes/interval (z="), shown, F.lit(")")),
-        **base, bytes=size, mean=c("mean"), std=c("std"), z=F.when(finite, c("z")),
+    burst = burst.withColumns(
+        {
+            "step": F.lit(6), "kind": F.lit("volume_spike"), "front": F.lit("volume|"), "behind": F.lit(""), "title": cat(c("proc_name"), F.lit(" outbound volume spike: "), size.cast("string"), F.lit(" bytes/interval (z="), shown, F.lit(")")),
+            "detail": _json(**base, bytes=size, mean=c("mean"), std=c("std"), z=F.when(finite, c("z"))),
+        }
     )
-    return out.unionByName(volume)
+    found = new.select(*shape).unionByName(moved.select(*shape)).unionByName(burst.select(*shape))
+    # a spike counts in either direction, the others only outbound
+    found = found.crossJoin(F.broadcast(active)).filter((c("seq") >= c("active_from")) & (c("outbound") | (c("step") == 6)))
+    found = found.join(process_ids(events), "exe").join(destination_ids(events), "dest_ip")
+    dedup = F.when(c("front").isNull(), c("behind")).otherwise(cat(c("front"), s("process_id"), c("behind")))
+    return found.select("seq", "step", "kind", "severity", "ts_ms", "process_id", "dest_id", dedup.alias("dedup_key"), "title", "detail")
 
 
 def cooldown_step(cooldown_ms: int):
@@ -257,5 +281,9 @@ def emitted(found: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
 
 
 def alerts(events: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
-    """All alerts of the events, in the order in which they were raised."""
+    """All alerts of the events, in the order in which they were raised.
+
+    The events are read once a signal and once for each table of ids: give a
+    written or persisted table where they come out of a long chain.
+    """
     return emitted(candidates(events, config), config).orderBy("seq", "step")

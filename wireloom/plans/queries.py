@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -715,7 +716,9 @@ def monitor_events(spark, sf_dir):
 
 @query()
 def monitor_alerts(spark, sf_dir):
-    return alerts.alerts(_monitored(spark, sf_dir), CONFIG)
+    # the engine reads its events several times: after a chain this long they are kept, on disk where memory ends
+    events = _monitored(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return alerts.alerts(events, alerts.AlertConfig(learn_ms=3_600_000, volume_interval_ms=3_600_000, volume_floor=200, volume_z=2.0))
 
 
 def queries() -> dict[str, Query]:
