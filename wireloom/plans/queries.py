@@ -33,8 +33,8 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[kinds[k](F.col(c)).alias(c) if k in kinds else F.col(c) for c, k in df.dtypes])
 
 
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL if it has one."""
+def query(sql: str | None = None, longs: str = ""):
+    """Registers a function under its name, with its SQL if it has one; ``longs`` names columns that SQL would give as 32-bit integers."""
 
     def take(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ def query(sql: str | None = None):
         run.__name__ = f.__name__
         QUERIES[f.__name__] = run
         if sql:
-            SQL[f.__name__] = " ".join(line.strip() for line in sql.strip().splitlines())
+            text = " ".join(line.strip() for line in sql.strip().splitlines())
+            wide = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in longs.split())
+            SQL[f.__name__] = f"SELECT * REPLACE ({wide}) FROM ({text})" if wide else text
         return f
 
     return take
@@ -60,7 +62,7 @@ E = "WITH RECURSIVE " + views.EVENTS_SQL
 # --- decoders ------------------------------------------------------------
 
 
-@query(P + "SELECT number, 14 AS eth_end, 2048 + CASE WHEN is_arp THEN 6 ELSE 0 END AS ethertype, '02:00:00:00:00:02' AS src_mac FROM w")
+@query(P + "SELECT number, 14 AS eth_end, 2048 + CASE WHEN is_arp THEN 6 ELSE 0 END AS ethertype, '02:00:00:00:00:02' AS src_mac FROM w", longs="eth_end ethertype")
 def decode_ethernet(spark, sf_dir):
     from ..functions.bytes import mac_text
 
@@ -68,13 +70,13 @@ def decode_ethernet(spark, sf_dir):
     return rows.select("number", F.col("eth.header_range.end").alias("eth_end"), "eth.ethertype", mac_text(F.col("eth.src_mac")).alias("src_mac"))
 
 
-@query(P + "SELECT number, src, dst, CASE WHEN is_udp THEN 17 WHEN is_icmp THEN 1 ELSE 6 END AS protocol, 64 AS ttl, wire_len - 14 AS total_length, number % 65536 AS identification, 2 AS flags FROM w WHERE NOT is_arp")
+@query(P + "SELECT number, src, dst, CASE WHEN is_udp THEN 17 WHEN is_icmp THEN 1 ELSE 6 END AS protocol, 64 AS ttl, wire_len - 14 AS total_length, number % 65536 AS identification, 2 AS flags FROM w WHERE NOT is_arp", longs="protocol ttl flags")
 def decode_ipv4(spark, sf_dir):
     rows = _packets(spark, sf_dir, False, ("ipv4",)).filter("ipv4 is not null")
     return rows.select("number", ip_text(F.col("ipv4.src_ip")).alias("src"), ip_text(F.col("ipv4.dst_ip")).alias("dst"), "ipv4.protocol", "ipv4.ttl", "ipv4.total_length", "ipv4.identification", "ipv4.flags")
 
 
-@query(P + "SELECT number, sport AS src_port, dport AS dst_port, seq AS seq_num, ack AS ack_num, plen AS payload_len, flags, 65535 AS window_size FROM w WHERE is_tcp")
+@query(P + "SELECT number, sport AS src_port, dport AS dst_port, seq AS seq_num, ack AS ack_num, plen AS payload_len, flags, 65535 AS window_size FROM w WHERE is_tcp", longs="window_size")
 def decode_tcp(spark, sf_dir):
     rows = _packets(spark, sf_dir, False, ("tcp",)).filter("tcp is not null")
     return rows.select("number", "tcp.src_port", "tcp.dst_port", "tcp.seq_num", "tcp.ack_num", "tcp.payload_len", flags_text().alias("flags"), "tcp.window_size")
@@ -86,13 +88,13 @@ def decode_udp(spark, sf_dir):
     return rows.select("number", "udp.src_port", "udp.dst_port", "udp.length")
 
 
-@query(P + "SELECT number, 1 AS operation, host AS sender, remote AS target FROM w WHERE is_arp")
+@query(P + "SELECT number, 1 AS operation, host AS sender, remote AS target FROM w WHERE is_arp", longs="operation")
 def decode_arp(spark, sf_dir):
     rows = _packets(spark, sf_dir, False, ("arp",)).filter("arp is not null")
     return rows.select("number", "arp.operation", ip_text(F.col("arp.sender_ip")).alias("sender"), ip_text(F.col("arp.target_ip")).alias("target"))
 
 
-@query(P + "SELECT number, CASE k % 3 WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE 11 END AS icmp_type, CASE WHEN k % 3 = 1 THEN k % 4 ELSE 0 END AS code FROM w WHERE is_icmp")
+@query(P + "SELECT number, CASE k % 3 WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE 11 END AS icmp_type, CASE WHEN k % 3 = 1 THEN k % 4 ELSE 0 END AS code FROM w WHERE is_icmp", longs="icmp_type")
 def decode_icmp(spark, sf_dir):
     rows = _packets(spark, sf_dir, False, ("icmp",)).filter("icmp is not null")
     return rows.select("number", "icmp.icmp_type", "icmp.code")
@@ -110,7 +112,8 @@ def decode_dns(spark, sf_dir):
 @query(
     P
     + """SELECT number, o AS is_request, CASE WHEN o THEN 'GET' END AS method, CASE WHEN o THEN '/item/' || k END AS uri, CASE WHEN NOT o THEN 200 END AS status_code, CASE WHEN o THEN 'shop' || (k % 7) || '.example.com' END AS host,
-    CASE WHEN NOT o THEN v END AS content_length, CASE WHEN o AND k % 10 = 0 THEN 2 ELSE 1 END AS headers FROM w WHERE e = 'purchase'"""
+    CASE WHEN NOT o THEN v END AS content_length, CASE WHEN o AND k % 10 = 0 THEN 2 ELSE 1 END AS headers FROM w WHERE e = 'purchase'""",
+    longs="status_code headers",
 )
 def decode_http(spark, sf_dir):
     rows = _packets(spark, sf_dir, False, ("http",)).filter("http is not null")
@@ -328,7 +331,7 @@ def flow_accounting(spark, sf_dir):
     return flows.flow_table(_notes(spark, sf_dir)).select("first_number", "last_number", "pkts_up", "pkts_down", "bytes_up", "bytes_down", "first_seen", "last_seen", "closed")
 
 
-@query(R + "SELECT max(number) AS id, CASE WHEN any_value(is_tcp) THEN 6 ELSE 17 END AS proto, any_value(hport) AS local_port, any_value(rport) AS remote_port, CAST(coalesce(sum(wire_len) FILTER (o), 0) AS BIGINT) AS bytes_up, CAST(coalesce(sum(wire_len) FILTER (NOT o), 0) AS BIGINT) AS bytes_down, min(ms) AS ts_start_ms, max(ms) AS ts_end_ms FROM an GROUP BY key, incarnation HAVING bool_or(closes)")
+@query(R + "SELECT max(number) AS id, CASE WHEN any_value(is_tcp) THEN 6 ELSE 17 END AS proto, any_value(hport) AS local_port, any_value(rport) AS remote_port, CAST(coalesce(sum(wire_len) FILTER (o), 0) AS BIGINT) AS bytes_up, CAST(coalesce(sum(wire_len) FILTER (NOT o), 0) AS BIGINT) AS bytes_down, min(ms) AS ts_start_ms, max(ms) AS ts_end_ms FROM an GROUP BY key, incarnation HAVING bool_or(closes)", longs="proto remote_port")
 def closed_connections(spark, sf_dir):
     done = flows.completed(flows.flow_table(_notes(spark, sf_dir)))
     ms = lambda c: F.unix_millis(c)
@@ -387,7 +390,8 @@ def _ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(
     E
     + """ SELECT seq, dest_ip, a.n_name AS country, 64500 + b.n_nationkey AS asn, 'NET' || b.n_nationkey AS as_org FROM f LEFT JOIN nation AS a ON split_part(dest_ip, '.', 3)::INT = a.n_nationkey AND split_part(dest_ip, '.', 4)::INT BETWEEN 0 AND 30
-    LEFT JOIN nation AS b ON split_part(dest_ip, '.', 3)::INT = b.n_nationkey AND split_part(dest_ip, '.', 4)::INT BETWEEN 20 AND 40"""
+    LEFT JOIN nation AS b ON split_part(dest_ip, '.', 3)::INT = b.n_nationkey AND split_part(dest_ip, '.', 4)::INT BETWEEN 20 AND 40""",
+    longs="asn",
 )
 def geo_range(spark, sf_dir):
     rows = views.flow_events(spark, sf_dir).select("seq", "dest_ip").withColumn("ip", ipv4_bytes(F.col("dest_ip")))
