@@ -54,8 +54,10 @@ def spread(df: DataFrame) -> DataFrame:
     read and work through alone.  Anything larger comes in enough splits and is
     left as it is, so nothing of size is ever shuffled for this.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if df.isStreaming or size > SMALL or df._jdf.toJavaRDD().getNumPartitions() >= cores:
+    if size > SMALL or df._jdf.toJavaRDD().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
