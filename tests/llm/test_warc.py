@@ -35,7 +35,7 @@ SCHEMA = "page_id long, url string, html string, payload string"
 def edge():
     rows = [(1, "http://a/", None), (2, None, ""), (3, "http://x\r\nWARC-Type: evil\r\n", "short"), (4, "u", "same " * 40), (9, "v", "same " * 40), (9, "v", "same " * 40)]
     rows += [(5, "é", "日本" * 60), (None, "n", "null id " * 30), (6, "w", "null id " * 30), (7, "t", TRAP), (8, "t", "x" * 90 + TRAP * 3 + "\r\n\r\n" + TRAP), (10, "t", TRAP * 3), (11, "t", TRAP * 3)]
-    return rows + [(12, "big", "<p>" + "y" * 300_000), (13, "end", "ends in breaks\r\n\r\n\r\n\r\n")]
+    return rows + [(12, "big", "<p>" + "y" * 300_000), (13, "end", "ends in breaks\r\n\r\n\r\n\r\n"), (14, "http://x/" + "long" * 60_000, "after a long header"), (15, "z", "WARC/1.1\r\n" * 20)]
 
 
 def test_edge_cases(spark):

@@ -35,8 +35,8 @@ ID = "urn:wireloom:page:"
 REVISIT_LEAST = 100
 #: Bytes of an archive that one task looks for candidates in.
 CHUNK = 8 << 20
-#: Longer headers aren't records.
-HEADER_MOST = 64 << 10
+#: Bytes read beyond a chunk for headers that start in it, and at once for an HTTP header; longer WARC headers are read on to their end.
+AHEAD = 64 << 10
 #: Rows of a table of repeats up to which it goes to every executor whole (some 200 bytes each).
 REPEATS_BOUND = 200_000
 
@@ -132,7 +132,7 @@ def header(data: bytes, at: int, base: int = 0) -> Header | None:
     """The header at ``data[at:]`` or None; ``base`` is added to its offsets."""
     if data[at : at + len(MAGIC)] != MAGIC:
         return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER_MOST)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     fields: dict[str, str] = {}
@@ -146,13 +146,32 @@ def header(data: bytes, at: int, base: int = 0) -> Header | None:
     return Header(fields, base + at, end + 4 - at)
 
 
-def candidates(data: bytes, base: int, limit: int) -> list[tuple[int, int]]:
-    """(offset, successor) claims that start in the first ``limit`` bytes of ``data``; offsets have ``base`` added."""
+def header_at(f, off: int, step: int = 2048) -> Header | None:
+    """The header at an offset of an open file, however long it is: twice as much is read until its end is there.
+
+    A record ends with two empty lines, so the search ends within the record
+    whatever the bytes at ``off`` are.
+    """
+    while True:
+        f.seek(off)
+        data = f.read(step)
+        if data[: len(MAGIC)] != MAGIC:
+            return None
+        if b"\r\n\r\n" in data or len(data) < step:
+            return header(data, 0, off)
+        step *= 2
+
+
+def candidates(f, lo: int, hi: int, size: int) -> list[tuple[int, int]]:
+    """(offset, successor) claims of the records that start in the bytes ``lo`` to ``hi`` of an open file."""
+    f.seek(lo)
+    data = f.read(min(size, hi + AHEAD) - lo)
     out, at = [], data.find(MAGIC)
-    while 0 <= at < limit:
-        h = header(data, at, base)
+    while 0 <= at < hi - lo:
+        whole = data.find(b"\r\n\r\n", at) >= 0
+        h = header(data, at, lo) if whole else header_at(f, lo + at, 2 * AHEAD)
         if h:
-            out.append((base + at, h.next))
+            out.append((lo + at, h.next))
         at = data.find(MAGIC, at + 1)
     return out
 
@@ -164,9 +183,7 @@ def _claims(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hi = min(size, lo + CHUNK)
             fs, at = common.file_system(path)
             with fs.open_input_file(at) as f:
-                f.seek(lo)
-                data = f.read(min(size, hi + HEADER_MOST) - lo)
-            found = candidates(data, lo, hi - lo)
+                found = candidates(f, lo, hi, size)
             leads: dict[int, int] = {}
             for off, nxt in reversed(found):  # a successor in the chunk stands later in it
                 leads[off] = nxt if nxt >= hi else leads.get(nxt, -1)
@@ -210,7 +227,7 @@ def _payload(f, h: Header) -> tuple[int, int, str]:
     """(payload bytes in the block, the HTTP header's length claim or -1, SHA-256), read in pieces."""
     f.seek(h.block)
     left = h.length
-    head = f.read(min(left, HEADER_MOST))
+    head = f.read(min(left, AHEAD))
     claim, sha, size = -1, hashlib.sha256(), 0
     if h.fields.get("content-type", "").startswith("application/http"):
         cut = head.find(b"\r\n\r\n")
@@ -240,11 +257,7 @@ def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             with fs.open_input_file(at) as f:
                 while off < hi:
-                    f.seek(off)
-                    h = header(f.read(2048), 0, off)
-                    if h is None:
-                        f.seek(off)
-                        h = header(f.read(HEADER_MOST), 0, off)
+                    h = header_at(f, off)
                     if h is None:
                         break  # a damaged file: what its chain doesn't reach isn't a record
                     n, claim, sha = _payload(f, h)
