@@ -25,7 +25,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # Rules of our own beside the base ones.
 EXTRA = (
     ("pem", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----")),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,8192}\.eyJ[A-Za-z0-9_-]{8,8192}\.[A-Za-z0-9_-]{8,8192}")),
     ("vcs", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}\b")),
 )
 
@@ -34,7 +34,7 @@ KINDS = ("assign", "access", "hex", *(k for k, _ in EXTRA))
 BASE = KINDS[:3]
 
 #: Change this with the rules: the ledger keys what was scanned on it.
-RULES_VERSION = "2"
+RULES_VERSION = "3"
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
