@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from wireloom.llm import secret_scan as S
 
@@ -53,6 +54,51 @@ def test_extra_rules_add_spans():
     assert {k for k, *_ in S.spans(t)} >= {"pem", "vcs"}
 
 
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+KEY = [c * 64 for c in "MIab"] + ["QrSt+/12=="]
+HEAD = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]
+
+
+def keyed():
+    """(text, what stays of it) with a private key in it."""
+    for br in ("\n", "\r\n", "\\n", "\\r\\n", "\n    ", " ", ""):
+        yield f"a word {br.join([BEGIN, *KEY, END])} and more", "a word [pem] and more"
+    yield "\n".join(["x", BEGIN, *HEAD, *KEY, END, "rest"]), "x\n[pem]\nrest"
+    # without an END line
+    for br in ("\n", "\r\n", "\\n", "\n    "):
+        yield br.join(["x", BEGIN, *KEY, "two words"]), br.join(["x", "[pem]", "two words"])
+        yield br.join(["x", BEGIN, *HEAD, *KEY, "two words"]), br.join(["x", "[pem]", "two words"])
+    yield "\n".join([BEGIN, *KEY]), "[pem]"
+    yield "\n".join([BEGIN, *KEY, "", "Next"]), "[pem]\n\nNext"
+    yield "\n\n".join([BEGIN, *KEY[:4], "Next"]), "[pem]\n\nNext"
+    yield f"{BEGIN} {KEY[0]} then words", "[pem] then words"
+    yield f"the line {BEGIN} opens a key", "the line [pem] opens a key"
+    # one key without an END line before another, and two whole ones
+    yield "\n".join([BEGIN, *KEY, "some words", BEGIN, *KEY, END]), "[pem]\nsome words\n[pem]"
+    yield "\n".join([BEGIN, *KEY, END, "some words", BEGIN, *KEY, END]), "[pem]\nsome words\n[pem]"
+
+
+def test_a_private_key_is_one_span_with_its_body():
+    for text, want in keyed():
+        assert S.mask(text, [s for s in S.spans(text) if s[0] == "pem"]) == want, text
+
+
+def test_masked_texts_hold_no_key_body(spark):
+    texts = [t for t, _ in keyed()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.redacted(rows).collect()}
+    assert len(out) == len(texts)
+    for t in out.values():
+        assert not [k for k in (*KEY, BEGIN, END) if k in t], t
+
+
+def test_many_markers_take_linear_time():
+    for part in (f"{BEGIN}\n", f"{BEGIN}\nA: b", f"{BEGIN}\n{KEY[0]}\n", "-----END " * 3 + BEGIN):
+        began = time.process_time()
+        S.spans(part * (2_000_000 // len(part)))
+        assert time.process_time() - began < 10
+
+
 def test_ledger_is_incremental(spark):
     def table(n):
         return spark.createDataFrame([(i, f"text {i % 5} token=abcdef{i % 5}") for i in range(n)], "doc_id long, text string")

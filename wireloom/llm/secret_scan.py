@@ -28,17 +28,32 @@ EXTRA = (
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,8192}\.eyJ[A-Za-z0-9_-]{8,8192}\.[A-Za-z0-9_-]{8,8192}")),
     ("vcs", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}\b")),
 )
+# Where the key that a pem marker opens ends: its END line, or without one the headers
+# and base64 that follow.  Newlines may be escaped, as in JSON and settings.
+PEM_END = re.compile(r"-----END [A-Z ]{0,24}PRIVATE KEY-----")
+PEM_BODY = re.compile(r"""(?x)
+    (?: (?: NL [A-Za-z][A-Za-z0-9-]*+:\ [^\r\n\\]*+ )++ (?: NL (?= NL ) )? )?
+    (?: [ \t]*+ [A-Za-z0-9+/]{16,}+ ={0,2}+ | NL [A-Za-z0-9+/]++ ={0,2}+ (?= [ \t"',;]*+ (?: \\[nr] | [\r\n] | \Z ) ) | (?: NL )++ [A-Za-z0-9+/]{16,}+ ={0,2}+ )++
+""".replace("NL", r"(?:[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+)"))
 
 #: Kinds in the order in which spans at one start are listed.
 KINDS = ("assign", "access", "hex", *(k for k, _ in EXTRA))
 BASE = KINDS[:3]
 
 #: Change this with the rules: the ledger keys what was scanned on it.
-RULES_VERSION = "3"
+RULES_VERSION = "4"
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
 
+def _keys(text: str) -> Iterator[tuple[int, int]]:
+    """The private keys of a text, marker to END line; a key reaches to the next marker at most, which keeps this linear."""
+    at = [m.span() for m in EXTRA[0][1].finditer(text)]
+    for (start, body), (limit, _) in zip(at, [*at[1:], (len(text), 0)]):
+        end = PEM_END.search(text, body, limit) or PEM_BODY.match(text, body, limit)
+        yield start, end.end() if end else body
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text: (kind, start, end), code points, end exclusive.
 
@@ -51,7 +66,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for (kind, rule), hint in zip(EXTRA, ("-----BEGIN", "eyJ", "gh")):
-        if hint in text:
+        if hint in text and kind == "pem":
+            found += [(kind, *s) for s in _keys(text)]
+        elif hint in text:
             found += [(kind, m.start(), m.end()) for m in rule.finditer(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
