@@ -99,6 +99,38 @@ def test_many_markers_take_linear_time():
         assert time.process_time() - began < 10
 
 
+def jwt(text):
+    return [s[1:] for s in S.spans(text) if s[0] == "jwt"]
+
+
+def test_token_segments_of_any_length():
+    short, long = "a" * 20, "Z" * 50_000
+    for a, b, c in ((long, short, short), (short, long, short), (short, short, long), (long, long, long)):
+        token = f"eyJ{a}.eyJ{b}.{c}"
+        assert jwt(f"bare {token} end") == [(5, 5 + len(token))]
+        assert S.mask(f"bare {token} end", S.spans(f"bare {token} end")) == "bare [jwt] end"
+
+
+def test_tokens_as_the_rule_finds_them():
+    draw = random.Random(11)
+    rule = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    parts = ["eyJ", "eyJ", "eyJabcdefgh", "abcdefgh", "abc", "-", "_", ".", ".", ".eyJabcdefgh.", " ", "é", "日"]
+    some = 0
+    for _ in range(30_000):
+        t = "".join(draw.choice(parts) for _ in range(draw.randint(0, 16)))
+        want = [m.span() for m in rule.finditer(t)]
+        some += len(want)
+        assert jwt(t) == want, t
+    assert some > 300
+
+
+def test_texts_of_nothing_but_token_starts_take_linear_time():
+    for part in ("-eyJ", "eyJ-", "eyJaaaaaaaa.", "-eyJaaaaaaaa.eyJ", ".eyJ", "eyJaaaaaaaa.eyJaaaaaaaa-"):
+        began = time.process_time()
+        S.spans(".eyJ " + part * (2_000_000 // len(part)))
+        assert time.process_time() - began < 10
+
+
 def test_ledger_is_incremental(spark):
     def table(n):
         return spark.createDataFrame([(i, f"text {i % 5} token=abcdef{i % 5}") for i in range(n)], "doc_id long, text string")
