@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from wireloom.llm import embedding_dedup as E
 
@@ -56,6 +57,29 @@ def test_recall_on_hard_clusters(spark):
     assert sum(r[1] for r in have.values()) >= 0.98 * sum(r[1] for r in want.values()) > 0
 
 
+@pytest.mark.parametrize("spread", [0.2, 0.25, 0.3])
+def test_recall_over_many_cells(spark, monkeypatch, spread):
+    """Many cells, so that the margin and the walk decide which pairs meet, and most vectors not in the sample."""
+    words, fit = [], E.MultiIndex.fit.__func__
+
+    def seen(cls, *a, **kw):
+        index = fit(cls, *a, **kw)
+        words.append((len(index.first), len(index.second)))
+        return index
+
+    monkeypatch.setattr(E, "PER_CELL", 5)
+    monkeypatch.setattr(E.MultiIndex, "fit", classmethod(seen))
+    rows = [(i, v.tolist()) for i, v in enumerate(clusters(150, 12, spread))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    have = {r[0]: r[1] for r in E.near_duplicates(df, sample=400).collect()}
+    want = {r[0]: r[1] for r in slow(rows)}
+    assert [min(w) for w in words] == [18]
+    assert all(have[i] <= want[i] for i in want)
+    recall = sum(have.values()) / sum(want.values())
+    print(f"recall {recall:.4f} of {sum(want.values()) // 2} pairs, {spread=}, {words=}")
+    assert recall >= 0.9
+
+
 def test_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = slow([(r.vec_id, r.embedding) for r in df.collect()])
