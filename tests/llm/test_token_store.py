@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -29,6 +30,36 @@ def test_elias_fano(values):
         assert ef.n_bytes * 8 / len(values) < 2 + np.log2(values[-1] / len(values)) + 1
 
 
+@pytest.mark.parametrize("values", [[0], [0, 0, 0], [0] * 600 + [7], sorted(random.Random(1).choices(range(10**9), k=3000)), list(range(1000)), [0, 2**40], [*range(300), *range(10**6, 10**6 + 300)]])
+def test_elias_fano_between(values):
+    ef = token_store.EliasFano.of(np.array(values))
+    draw = random.Random(len(values))
+    for i, j in [(0, len(values)), (len(values) - 1, len(values)), *(sorted(draw.sample(range(len(values) + 1), 2)) for _ in range(300))]:
+        assert ef.between(i, j).tolist() == values[i:j], (i, j)
+
+
+def test_read_decodes_no_more_than_a_block_of_boundaries(tmp_path, monkeypatch):
+    """A file of several blocks is read by select, never by a table of all its boundaries."""
+    draw = random.Random(4)
+    rows = [(i, np.array([draw.randrange(50_000) for _ in range(draw.randint(1, 9))], "<u2")) for i in range(2500)]
+    path = f"file://{tmp_path}/part-000000.tok"
+    fs, at = common.file_system(path)
+    writer = token_store.TokenFileWriter(fs.open_output_stream(at), False)
+    for i, ids in rows:
+        writer.add(i, ids)
+    writer.close()
+    spans, between = [], token_store.EliasFano.between
+    monkeypatch.setattr(token_store.EliasFano, "all", lambda self: pytest.fail("all boundaries at once"))
+    monkeypatch.setattr(token_store.EliasFano, "between", lambda self, i, j: (spans.append((i, j)), between(self, i, j))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([10], pa.int64())], names=["path", "before"])
+    got = [r for b in token_store._read([batch]) for r in zip(*b.to_pydict().values())]
+    want, start = [], 10
+    for i, ids in rows:
+        want.append((i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+        start += len(ids)
+    assert got == want and spans == [(0, 1025), (1024, 2049), (2048, 2501)]
+
+
 def expect(lib, table):
     out, start = [], 0
     for d, t in sorted(table, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

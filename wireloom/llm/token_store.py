@@ -56,8 +56,8 @@ class EliasFano:
         part = int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3].tobytes(), "little")
         return (part >> (at & 7)) & ((1 << self.low_bits) - 1)
 
-    def select(self, i: int) -> int:
-        """The i-th number, from the nearest sample on."""
+    def _one(self, i: int) -> int:
+        """The place of the i-th number's high bit, from the nearest sample on."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         at = int(self.samples[i // EVERY])
@@ -70,8 +70,23 @@ class EliasFano:
             word = int(self.high[byte])
         for _ in range(skip):
             word &= word - 1
-        one = (byte << 3) + (word & -word).bit_length() - 1
-        return (one - i) << self.low_bits | self._low(i)
+        return (byte << 3) + (word & -word).bit_length() - 1
+
+    def select(self, i: int) -> int:
+        """The i-th number."""
+        return (self._one(i) - i) << self.low_bits | self._low(i)
+
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Numbers ``i`` to ``j`` (not included, at least one): a select at both ends, and only what lies between is decoded."""
+        first, last = self._one(i), self._one(j - 1)
+        bits = np.unpackbits(self.high[first >> 3 : (last >> 3) + 1], bitorder="little")
+        ones = np.flatnonzero(bits[first & 7 : last + 1 - (first >> 3 << 3)]) + first
+        high = (ones - np.arange(i, j)) << self.low_bits
+        if not self.low_bits:
+            return high
+        at, end = i * self.low_bits, j * self.low_bits
+        bits = np.unpackbits(self.low[at >> 3 : (end + 7) >> 3], bitorder="little")[at & 7 :][: end - at].reshape(j - i, self.low_bits)
+        return high | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
     def all(self) -> np.ndarray:
         """Every number."""
@@ -279,14 +294,14 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, at = common.file_system(path)
             with fs.open_input_file(at) as f:
                 t = TokenFile(f, f.size())
-                bounds = t.bounds.all()
                 for i in range(0, t.n, 1024):
                     j = min(t.n, i + 1024)
+                    bounds = t.bounds.between(i, j + 1)
                     sums = []
-                    for a, z in zip(bounds[i:j].tolist(), bounds[i + 1 : j + 1].tolist()):
+                    for a, z in itertools.pairwise(bounds.tolist()):
                         sums.append(zlib.crc32(t.ids_between(a, z).astype("<u4").tobytes()))
                     docs = pa.array(t.docs[i:j], pa.int64(), mask=t.null[i:j])
-                    yield pa.RecordBatch.from_arrays([docs, pa.array(bounds[i:j] + before), pa.array(np.diff(bounds[i : j + 1])), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(bounds[:-1] + before), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
 def read(spark, files: list[tuple[str, int, int, int]], id_col: str = "doc_id") -> DataFrame:
