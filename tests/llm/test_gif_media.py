@@ -145,3 +145,29 @@ def test_frames_table(spark):
     got = G.frames(df, "id", "data").orderBy("frame").collect()
     assert [(r.id, r.frame, r.start_cs, r.delay_cs, r.left, r.width) for r in got] == [(1, 0, 0, 5, 0, 4), (1, 1, 5, 7, 1, 2)]
     assert got[0].red[15] == 16 and got[1].green[15] == 2
+
+
+def test_media_column_frames_and_features_agree(spark, monkeypatch):
+    """The registered query's features are those of the frame rows of the same media column."""
+    texts = {1: "first frame " * 20_000, 2: "short", 3: None, 4: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = G.media(df)
+    assert kept.columns == ["doc_id", "n_bytes", "media"]
+    data = {r.doc_id: bytes(r.media) for r in kept.collect()}
+    assert {i: hashlib.sha256(m).hexdigest() for i, m in data.items()} == {r.doc_id: r.media_sha256 for r in G.stored(df).collect()}
+    rows = G.frames(kept, "doc_id", "media").orderBy("doc_id", "frame").collect()
+    for r in G.stored(df).collect():
+        own = [x for x in rows if x.doc_id == r.doc_id]
+        assert r.feature.startswith(f"frames={len(own)};cs={own[-1].start_cs + own[-1].delay_cs};grey=")
+        if len(own) == 1:
+            assert own[0].red == own[0].green == own[0].blue and r.feature.endswith("grey=" + ",".join(map(str, own[0].red)))
+    assert [r.frame for r in rows if r.doc_id == 1] == [0, 1]
+    calls, histogram = [], G.histogram
+    monkeypatch.setattr(G, "histogram", lambda *a, **kw: (calls.append(1), histogram(*a, **kw))[1])
+    G.read_back(data[1])
+    assert len(calls) == 2
+
+
+def test_histogram_of_the_own_rectangle():
+    f = G.decode(gif([(0, 0, FULL, 5, 1, None, False, None), (1, 1, [[2, 3], [0, 2]], 7, 2, 0, False, None)]))[1]
+    assert G.histogram(f)[:, 15].tolist() == [13, 2, 1] and G.histogram(f, own=True)[:, 15].tolist() == [1, 2, 1]

@@ -264,9 +264,11 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DE
     return b"".join([*out, b"\x3b"])
 
 
-def histogram(frame: Frame, bins: int = BINS) -> np.ndarray:
-    """Counts of each colour channel's ``bins`` equal ranges (3 x bins) over the visible canvas."""
-    seen = frame.canvas[frame.canvas[..., 3] > 0][:, :3]
+def histogram(frame: Frame, bins: int = BINS, own: bool = False) -> np.ndarray:
+    """Counts of each colour channel's ``bins`` equal ranges (3 x bins) over the visible canvas, or over what is visible of the frame's ``own`` rectangle."""
+    part = frame.canvas[frame.top : frame.top + frame.index.shape[0], frame.left : frame.left + frame.index.shape[1]] if own else frame.canvas
+    there = part[..., 3] > 0
+    seen = part.reshape(-1, 4) if there.all() else part[there]
     return np.stack([np.bincount(seen[:, c] >> 4 if bins == 16 else seen[:, c].astype(int) * bins // 256, minlength=bins) for c in range(3)])
 
 
@@ -283,22 +285,37 @@ def read_back(media: bytes) -> tuple[bytes, str]:
     The feature: number of frames, time in hundredths of a second, and the
     ``BINS`` counts of the grey levels over all frames' own rows.
     """
-    parts, total, clock, n = [], np.zeros(BINS, np.int64), 0, 0
+    parts, total, clock, n = [], np.zeros((3, BINS), np.int64), 0, 0
     for f in decode(media):
         own = f.canvas[f.top : f.top + f.index.shape[0], f.left : f.left + f.index.shape[1], 0]
         parts.append(own.tobytes())
-        total += np.bincount(own.ravel() >> 4, minlength=BINS)
-        clock += f.delay_cs
+        total += histogram(f, own=True)
+        clock = f.start_cs + f.delay_cs
         n += 1
-    return b"".join(parts), f"frames={n};cs={clock};grey=" + ",".join(map(str, total))
+    return b"".join(parts), f"frames={n};cs={clock};grey=" + ",".join(map(str, total[0]))  # of grey, all channels are alike
+
+
+def _media(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in common.sliced(batches):
+        made = [(n, encode(payload)) for payload, n in map(payload_of, b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], names=["id", "n_bytes", "media"])
+
+
+def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_bytes, media): every text as a GIF of timed frames, a row per row; ``frames`` reads the media column.
+
+    Null and empty texts are one unit of bytes 255; repeated rows stay repeated;
+    an empty table gives an empty one.
+    """
+    common.shipped(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return common.spread(rows).mapInArrow(_media, f"id {dict(rows.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in common.sliced(batches):
         out = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for t in b.column(1).to_pylist():
-            payload, n = payload_of(t)
-            media = encode(payload)
+        for n, media in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             back, feature = read_back(media)
             for k, v in zip(out, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)):
                 out[k].append(v)
@@ -307,15 +324,14 @@ def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text stored as a GIF and read back: a row of sizes, digests and features per row.
+    """Every text stored as a GIF and read back from the media column: a row of sizes, digests and features per row.
 
     Null and empty texts are one unit of bytes 255.  Equal texts give equal values;
     repeated rows stay repeated; an empty table gives an empty one.
     """
-    common.shipped(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = media(docs, id_col, text_col).withColumnRenamed(id_col, "id")
     schema = f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return common.spread(rows).mapInArrow(_store, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_store, schema).withColumnRenamed("id", id_col)
 
 
 FRAMES = "id {0}, frame int, start_cs long, delay_cs long, left int, top int, width int, height int, samples binary, red array<long>, green array<long>, blue array<long>"
