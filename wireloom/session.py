@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,7 +37,9 @@ def ship(spark: SparkSession) -> None:
     if sc.getLocalProperty("wireloom.ship") == sc.applicationId:
         return
     root = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp()) / f"wireloom-{uuid.uuid4().hex[:8]}.zip"
+    folder = tempfile.mkdtemp(prefix="wireloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = Path(folder) / f"wireloom-{uuid.uuid4().hex[:8]}.zip"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent).as_posix())
@@ -45,19 +49,37 @@ def ship(spark: SparkSession) -> None:
 
 #: Inputs up to this size may be dealt out anew before work that takes long a row.
 SMALL = 64 << 20
+#: What Spark says of a leaf whose size it doesn't know is above this.
+_UNKNOWN = 1 << 50
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of all that ``df`` reads, as the planner estimates them; None if it doesn't know.  Nothing is run for it."""
+    total, leaves = 0, df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    while leaves.hasNext():
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        if size >= _UNKNOWN:
+            return None
+        total += size
+    return total
+
+
+def parts_for(df: DataFrame) -> int:
+    """How many parts ``df`` should be dealt out to: as many as a plain scan of its input has splits, the cores at least."""
+    conf, cores = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
+    split = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.sql.files.maxPartitionBytes")))
+    return max(cores, -(-(input_bytes(df) or 0) // max(1, split)))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over all cores if it is small and comes in fewer parts than there are cores.
+    """``df``, dealt over all cores if all that it reads is small.
 
     A small table is often one row group of one file, which one task would
     read and work through alone.  Anything larger comes in enough splits and is
-    left as it is, so nothing of size is ever shuffled for this.
+    left as it is, so nothing of size is ever shuffled for this.  The decision
+    rests on the planner's sizes of the inputs alone; no part of the plan is run.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL or df._jdf.toJavaRDD().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    size = input_bytes(df)
+    return df if size is None or size > SMALL else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
