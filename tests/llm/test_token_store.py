@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -16,9 +17,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def lib():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("values", [[0], [0, 0, 0], [0, 1], [0] * 600 + [7], sorted(random.Random(1).choices(range(10**9), k=3000)), list(range(1000)), [0, 2**40]])
@@ -80,6 +79,29 @@ def test_edge_cases(spark, lib, files):
     assert got == expect(lib, [(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_special_tokens_are_the_library_s(spark, lib):
+    """Added tokens in a text become their own ids, wherever they stand."""
+    end = "<|endoftext|>"
+    texts = [end, f"hello {end} world", f"a{end}{end}  b", f" {end}\n\n {end[:-1]}{end}", f"{end}'s", f"x  {end}  y " * 50, end[1:], "<|endoftext|"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = sorted(map(tuple, stored(spark, df, files=2).collect()))
+    assert got == expect(lib, [*enumerate(texts)])
+    assert 50256 in lib.encode(texts[1], add_special_tokens=False).ids and token_store.LibraryEncoder(PATH).by_piece
+
+
+@pytest.mark.parametrize("change", [lambda s: s["added_tokens"][0].update(lstrip=True), lambda s: s["pre_tokenizer"].update(add_prefix_space=True), lambda s: s.update(normalizer={"type": "Lowercase"})])
+def test_other_tokenizers_get_whole_texts(tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    change(spec)
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    own, lib = token_store.LibraryEncoder(str(path)), Tokenizer.from_file(str(path))
+    texts = ["A b  <|endoftext|> c", "", " x<|endoftext|>"]
+    assert not own.by_piece
+    assert [x.tolist() for x in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_empty(spark):
     assert stored(spark, empty(spark)).count() == 0
 

@@ -7,12 +7,15 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import parts_for, spread
 from ..session import ship as shipped
-from ..session import spread
 
-__all__ = ["WORD_PATTERN", "dropped", "file_system", "new_path", "shared_dir", "shipped", "sliced", "spread", "table", "written"]
+__all__ = ["WORD_PATTERN", "dropped", "file_system", "new_path", "parts_for", "shared_dir", "shipped", "sliced", "spread", "table", "written"]
 
 #: Words are runs of anything but these six ASCII blanks; ``bytes.split()``
 #: splits on exactly the same set.
@@ -34,20 +37,45 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     ``spark.checkpoint.dir`` of the session decides.  Only where it is unset
-    is a folder chosen here: a temporary one in single-process local mode, a
-    folder in the (shared) warehouse otherwise.
+    is a folder chosen here: a temporary one in single-process local mode, else a
+    folder in the warehouse, which then must not be a local path of each machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] == "local":
             return _local_dir()
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wireloom_shared"
+        if _hadoop(spark, base)[1].getScheme() == "file":
+            raise ValueError(f"set spark.checkpoint.dir: the warehouse {base} is a local folder, which the machines of a cluster don't share")
     return base.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(path, file system) as Hadoop has them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_mine: list[tuple[SparkSession, str]] = []
+
+
+def _leave() -> None:
+    """Removes this process's intermediate tables at its end, if the JVM is still there."""
+    for spark, path in _mine:
+        try:
+            p, fs = _hadoop(spark, path)
+            fs.delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended before: its folder has the application's name
+            return
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/wireloom/{tag}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, under the application's name; it is removed when this process ends."""
+    if not _mine:
+        atexit.register(_leave)
+    path = f"{shared_dir(spark)}/wireloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    _mine.append((spark, path))
+    return path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -69,17 +97,28 @@ def dropped(df: DataFrame) -> None:
     """Removes a table that :func:`written` made and that nothing reads any more."""
     path = getattr(df, "_wireloom_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
+        _mine[:] = [x for x in _mine if x[1] != path]
 
 
-def sliced(batches, rows: int = 256):
-    """Arrow batches in slices of a few rows, so that a worker never holds a whole batch of long texts as objects."""
+#: Bytes of texts that a worker holds as objects at a time, unless one row alone has more.
+HELD = 32 << 20
+
+
+def sliced(batches, rows: int = 256, held: int = HELD):
+    """Arrow batches in slices of a few rows and bytes, so that a worker never holds a whole batch of long texts as objects."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        before = np.r_[0, np.cumsum(size)]
+        i = 0
+        while i < b.num_rows:
+            j = min(i + rows, max(i + 1, int(np.searchsorted(before, before[i] + held, "right")) - 1), b.num_rows)
+            yield b.slice(i, j - i)
+            i = j
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,12 +126,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Names under which Hadoop knows a store that the workers' library calls otherwise.
+_STORES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def file_system(uri: str):
-    """(file system, path) for a URI as Hadoop prints it, on any machine."""
+    """(file system, path) for a URI as Hadoop prints it, on any machine.
+
+    ``dbfs:`` is the mount of that name, stores have their library's scheme.
+    """
     from pyarrow import fs
 
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(_STORES.get(scheme, scheme) + ":" + rest)

@@ -190,40 +190,60 @@ class _Known(dict):
         return ids
 
 
+#: What the library and the remembered pieces have to agree on before pieces are trusted.
+PROBE = "It's we'll  I'D\t\n x1\u00a0\u3000\u4e2d\u6587 na\u00efve \u0417\u0434\u0440\u0430 \U0001f600!? ''s 12 345\r\n\r\n  end " + "".join(map(chr, range(1, 0x250)))
+
+
 class LibraryEncoder:
-    """The tokenizers library, with its answers for pre-tokens remembered.
+    """The tokenizers library as its file sets it up, with its answers for pre-tokens remembered.
 
     Where the tokenizer is byte-level with the usual split and nothing before
     or after it, a text's ids are those of its pre-tokens one after another, so
-    the library's model is asked once for each different pre-token.  Any other
-    tokenizer gets whole texts.
+    the library's model is asked once for each different pre-token.  Added
+    tokens (special ones too) are taken out of a text first, as the library
+    does.  Any other tokenizer, and one whose own ids for ``PROBE`` differ, gets
+    whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.lib.no_padding()
         self.lib.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.wide = max(self.lib.get_vocab(with_added_tokens=True).values(), default=0) > 65535
+        self.kind = np.uint32 if self.wide else np.uint16
+        self.split = regex.compile(SPLIT).findall
+        self.known = _Known(self.lib.model, "I" if self.wide else "H")
+        added = spec.get("added_tokens") or []
+        self.added = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in added if t["content"]}
+        self.cuts = regex.compile("|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = (
             not spec.get("normalizer") and not spec.get("post_processor") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
             and pre.get("use_regex", True) and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+            and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")) and len({t.get("normalized") for t in added}) < 2
         )
-        self.wide = self.lib.get_vocab_size() > 65536
-        self.kind = np.uint32 if self.wide else np.uint16
-        self.split = regex.compile(SPLIT).findall
-        self.known = _Known(self.lib.model, "I" if self.wide else "H")
+        probes = [PROBE, *(f"{PROBE}{c} {c}{c}x" for c in self.added)]
+        self.by_piece = self.by_piece and all(np.array_equal(self._pieces(t), self.lib.encode(t, add_special_tokens=False).ids) for t in probes)
+
+    def _pieces(self, text: str) -> np.ndarray:
+        of, split = self.known.__getitem__, self.split
+        if not any(c in text for c in self.added):
+            return np.frombuffer(b"".join(map(of, split(text))), self.kind)
+        out, at = [], 0
+        for m in self.cuts.finditer(text):
+            out += [*map(of, split(text[at : m.start()])), self.added[m[0]]]
+            at = m.end()
+        return np.frombuffer(b"".join([*out, *map(of, split(text[at:]))]), self.kind)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids."""
-        if not self.by_piece:
-            return [np.array(e.ids, self.kind) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-        of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, self.split(t))), self.kind) for t in texts]
+        if self.by_piece:
+            return [self._pieces(t) for t in texts]
+        return [np.array(e.ids, self.kind) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -269,15 +289,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
     """Token-id files of ``docs`` in ascending id order over all files: [(path, n_docs, n_ids, ids before)].
 
     The documents are dealt out by ranges of their id (null first), one file a
-    range, as many as the input has partitions (or the cluster cores, if that is more) unless ``files`` says otherwise;
+    range, as many as a scan of the input has splits (or the cluster cores, if that is more) unless ``files`` says otherwise;
     repeated ids stand together, ordered by text.  A task streams its ids
     to a file of its own name and renames it when whole.  The list has a row
-    per file of some tens of MB, which is what the driver holds.
+    per file of some tens of MB, which is what the driver holds.  A null or empty
+    text is the end id alone; an empty table gives no file and an empty list;
+    other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     common.shipped(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = files or max(rows._jdf.toJavaRDD().getNumPartitions(), spark.sparkContext.defaultParallelism)
+    n = files or common.parts_for(docs)
     rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "id", "text")
     done = rows.mapInArrow(_write(tokenizer, folder, end_id), "part int, path string, n_docs long, n_ids long")
@@ -305,7 +327,11 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark, files: list[tuple[str, int, int, int]], id_col: str = "doc_id") -> DataFrame:
-    """(id_col, start, n_tokens, ids_crc32) per document of the files, each file by a task of its own."""
+    """(id_col, start, n_tokens, ids_crc32) per document of the files, each file by a task of its own.
+
+    Every boundary comes from the file's select structure, a block of 1024
+    documents at a time.  No files give an empty table; null ids come back null.
+    """
     common.shipped(spark)
     rows = spark.createDataFrame([(f[0], f[3]) for f in files], "path string, before long")
     rows = rows.repartition(max(1, len(files)))
