@@ -1,5 +1,9 @@
 import hashlib
+import random
+import time
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from wireloom.llm import common, warc
@@ -47,8 +51,6 @@ def test_edge_cases(spark):
 
 def test_small_chunks_and_many_hops(spark, monkeypatch):
     """Chunks smaller than most records; claims and records then run in this process."""
-    import pyarrow as pa
-
     folder = common.new_path(spark, "warc")
     warc.write(spark.createDataFrame([(*r, "x") for r in edge() * 3], SCHEMA).coalesce(1), folder)
     path, size = next((r.path, r.length) for r in spark.read.format("binaryFile").load(folder).select("path", "length").collect() if r.length)
@@ -83,6 +85,52 @@ def test_pointer_doubling_reaches_far(spark, monkeypatch):
     assert got == [i * 10 for i in range(300)]
 
 
+def plainly(data, lo, hi):
+    """Every hit's header by itself."""
+    out, at = [], data.find(warc.MAGIC, lo)
+    while 0 <= at < hi:
+        if h := warc.header(data, at):
+            out.append((at, h.next))
+        at = data.find(warc.MAGIC, at + 1)
+    return out
+
+
+PIECES = [b"WARC/1.1\r\n", b"X: WARC/1.1\r\n", b"Content-Length: 7\r\n", b"content-length : 12\r\n", b"Content-Length: x\r\n", b"a: b\r\n", b"no field\r\n", b"\r\n", b"\r\n\r\n", b"\r", b"\n", b"word", b"c:" + b"y" * 90 + b"\r\n"]
+
+
+def test_candidates_are_what_every_hit_s_header_says(monkeypatch):
+    """Random bytes out of what headers are made of, cut into chunks anywhere."""
+    draw = random.Random(8)
+    monkeypatch.setattr(warc, "AHEAD", 60)
+    for _ in range(400):
+        data = b"".join(draw.choices(PIECES, k=draw.randint(1, 60)))
+        lo = draw.randrange(len(data))
+        hi = draw.randint(lo, len(data))
+        got = warc.candidates(pa.BufferReader(data), lo, hi, len(data))
+        assert got == plainly(data, lo, hi), (data, lo, hi)
+
+
+@pytest.mark.parametrize("trap", [b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 5\r\n", b"WARC/1.1\r\na: WARC/1.1\r\nb: ", b"a:WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n", b"WARC/1.1\r\n" + b"z" * 4000])
+@pytest.mark.parametrize("behind", [b"", b"\r\n\r\n"])
+def test_megabytes_of_magic_lines_take_linear_time(trap, behind):
+    data = trap * ((12 << 20) // len(trap)) + behind
+    began = time.process_time()
+    for lo in range(0, len(data), warc.CHUNK):
+        warc.candidates(pa.BufferReader(data), lo, min(len(data), lo + warc.CHUNK), len(data))
+    assert time.process_time() - began < 40
+
+
+def test_payload_of_eight_megabytes_of_magic_lines(spark):
+    rows = [(1, "a", "WARC/1.1\r\n" * 800_000), (2, "b", TRAP * 30_000), (3, "c", "after"), (4, "d", "WARC/1.1\r\nb: c\r\n" * 400_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).coalesce(1)
+    assert round_trip(spark, df) == slow(rows)
+
+
+def test_tasks_are_packed(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert [warc._tasks(spark, n) for n in (0, 1, 5, 10**3, 10**7)] == [1, 1, 5, max(2 * cores, 10**3 // 32), 20 * cores]
+
+
 def test_table(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     assert round_trip(spark, df) == slow([(r.page_id, r.url, r.html) for r in df.collect()])

@@ -1,7 +1,7 @@
 """WARC archives: written by Spark, read back by boundary-chain verification.
 
-Reading.  A file is cut into chunks of bytes.  A task looks for the magic line in
-its chunk; every hit with a readable header is a candidate whose successor is
+Reading.  A file is cut into chunks of bytes.  A task takes some hundred MB of chunks, one
+after another, and looks for the magic line in each; every hit with a readable header is a candidate whose successor is
 where its Content-Length says.  The magic may well stand inside a payload, so a
 candidate is only a claim.  Within the chunk the task follows each candidate
 to the first offset beyond the chunk; between chunks, pointers are doubled
@@ -33,8 +33,10 @@ ID = "urn:wireloom:page:"
 
 #: Payloads from this size on are stored once.
 REVISIT_LEAST = 100
-#: Bytes of an archive that one task looks for candidates in.
-CHUNK = 8 << 20
+#: Bytes of an archive that are looked through for candidates at a time, and bytes of chunks that one task gets.
+CHUNK, TASK = 8 << 20, 256 << 20
+#: Tasks for each core of the cluster at most, however large the archives are.
+WAVES = 20
 #: Bytes read beyond a chunk for headers that start in it, and at once for an HTTP header; longer WARC headers are read on to their end.
 AHEAD = 64 << 10
 #: Rows of a table of repeats up to which it goes to every executor whole (some 200 bytes each).
@@ -162,18 +164,78 @@ def header_at(f, off: int, step: int = 2048) -> Header | None:
         step *= 2
 
 
+def _length(line: bytes) -> bytes | None:
+    """The value of a header line if it is the block's length."""
+    name, _, value = line.partition(b":")
+    return value.strip() if name.strip().lower() == b"content-length" else None
+
+
+class _Rest:
+    """What a header says from some line on: where it ends, whether every line is a field, and the first length among them."""
+
+    __slots__ = ("end", "length", "sound")
+
+    def __init__(self, end: int, sound: bool = True, length: bytes | None = None) -> None:
+        self.end, self.sound, self.length = end, sound, length
+
+    def before(self, lines: list[bytes]) -> _Rest:
+        """The same from ``lines`` on, which come right before."""
+        stated = (x for line in lines if (x := _length(line)) is not None)
+        return _Rest(self.end, self.sound and all(b":" in line for line in lines), next(stated, self.length))
+
+
+def _beyond(f, at: int, size: int) -> _Rest | None:
+    """The header from its fields at offset ``at`` on, read in pieces; None as soon as a line isn't a field, or at the file's end.
+
+    Of a line of more than AHEAD bytes only its colon counts.
+    """
+    f.seek(at)
+    kept, end, cut, colon, length = b"", at, False, False, None
+    while piece := f.read(min(AHEAD, max(0, size - f.tell()))):
+        *whole, kept = (kept + piece).split(b"\r\n")
+        for line in whole:
+            end += len(line) + 2
+            if not line and not cut:
+                return _Rest(end, True, length)
+            if not colon and b":" not in line:
+                return None
+            length = _length(line) if length is None and not cut else length
+            cut = colon = False
+        if len(kept) > AHEAD:
+            cut, colon, end, kept = True, colon or b":" in kept, end + len(kept) - 1, kept[-1:]
+    return None
+
+
 def candidates(f, lo: int, hi: int, size: int) -> list[tuple[int, int]]:
-    """(offset, successor) claims of the records that start in the bytes ``lo`` to ``hi`` of an open file."""
+    """(offset, successor) claims of the records that start in the bytes ``lo`` to ``hi`` of an open file.
+
+    Hits are taken from the last to the first.  Hits whose header runs to the
+    same empty line share the fields behind the later one, so every byte is
+    split into fields once however many hits there are, and a header that
+    leaves the bytes at hand is read on once for all of them.
+    """
     f.seek(lo)
     data = f.read(min(size, hi + AHEAD) - lo)
-    out, at = [], data.find(MAGIC)
+    hits, at = [], data.find(MAGIC)
     while 0 <= at < hi - lo:
-        whole = data.find(b"\r\n\r\n", at) >= 0
-        h = header(data, at, lo) if whole else header_at(f, lo + at, 2 * AHEAD)
-        if h:
-            out.append((lo + at, h.next))
+        hits.append(at)
         at = data.find(MAGIC, at + 1)
-    return out
+    out: list[tuple[int, int]] = []
+    rest: _Rest | None = None
+    until = len(data)  # where the hit after this one stands
+    for at in reversed(hits):
+        fields = at + len(MAGIC)
+        end = data.find(b"\r\n\r\n", at, min(len(data), until + 3))
+        if end >= 0:
+            rest = _Rest(lo + end + 4).before(data[fields:end].split(b"\r\n") if end >= fields else [])
+        elif until == len(data):
+            rest = _beyond(f, lo + fields, size)
+        elif rest is not None:
+            rest = rest.before(data[fields : until + len(MAGIC) - 2].split(b"\r\n"))
+        until = at
+        if rest is not None and rest.sound and rest.length is not None and _LENGTH.fullmatch(rest.length.decode("latin-1")):
+            out.append((lo + at, rest.end + int(rest.length) + len(END)))
+    return out[::-1]
 
 
 def _claims(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +253,16 @@ def _claims(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(list(leads), pa.int64()), pa.array(list(leads.values()), pa.int64())], names=["path", "off", "out"])
 
 
+def _tasks(spark: SparkSession, chunks: int) -> int:
+    """How many tasks work through so many chunks: two a core at least if there are as many chunks, WAVES a core at most."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(chunks, max(2 * cores, min(WAVES * cores, chunks * CHUNK // TASK))))
+
+
 def _chunks(files: DataFrame) -> DataFrame:
     rows = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(CHUNK).cast("long"))).alias("lo"))
-    return rows.repartition(max(1, rows.count()))
+    n = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / CHUNK)), F.lit(0))).head()[0]
+    return rows.repartition(_tasks(files.sparkSession, int(n)))
 
 
 def entries(files: DataFrame) -> DataFrame:
@@ -215,9 +284,13 @@ def entries(files: DataFrame) -> DataFrame:
         common.dropped(reached)
         reached = new
         if not grown:
+            common.dropped(claims)
+            common.dropped(hop)
             return reached
         on = hop.select("path", F.col("off").alias("out"), F.col("out").alias("far"))
-        hop = common.written(hop.join(on, ["path", "out"]).select("path", "off", F.col("far").alias("out")), "warc-hop")
+        far = common.written(hop.join(on, ["path", "out"]).select("path", "off", F.col("far").alias("out")), "warc-hop")
+        common.dropped(hop)
+        hop = far
 
 
 _HTTP_LENGTH = re.compile(rb"^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", re.I | re.M)
@@ -278,7 +351,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     common.shipped(spark)
     files = common.written(spark.read.format("binaryFile").load(folder).select("path", "length"), "warc-files")
     first = entries(files).join(files, "path").select("path", "length", "off")
-    first = first.repartition(max(1, first.count()), "path", "off")
+    first = first.repartition(_tasks(spark, first.count()), "path", "off")
     return first.mapInArrow(_records, _FIELDS)
 
 
