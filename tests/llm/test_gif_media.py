@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -115,8 +116,49 @@ def test_not_a_gif_and_broken_off():
 
 def test_big_payload_has_several_frames():
     payload = os.urandom(576 * 600)
-    back, feature = G.read_back(G.encode(payload))
-    assert back == payload and feature.startswith("frames=3;cs=12;")
+    parts = []
+    back = G.read_back(G.encode(payload), parts.append)
+    assert b"".join(parts) == payload and back.feature.startswith("frames=3;cs=12;")
+    assert (back.size, back.sha256, back.tail) == (len(payload), hashlib.sha256(payload).hexdigest(), payload[-32:])
+
+
+def test_reading_back_holds_one_frame():
+    """Twenty MB of samples are read back with the memory of a few frames."""
+    media = G.encode(b"all alike " * (576 * 3600))
+    tracemalloc.start()
+    back = G.read_back(media)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back.frames == 141 and back.size > 20_000_000 and peak < 12_000_000
+
+
+@pytest.mark.parametrize("data", [b"GIF89a" + (60000).to_bytes(2, "little") * 2 + b"\0\0\0", b"GIF89a\xff\xff\xff\xff\xf7\0\0"])
+def test_hostile_screens_are_refused_before_any_canvas(spark, data):
+    with pytest.raises(ValueError):
+        next(G.frames_of(data))
+    df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(gif([(0, 0, FULL, 5, 1, None, False, None)])))], "id long, data binary")
+    assert [r.id for r in G.frames(df, "id", "data").collect()] == [2]
+
+
+def test_hostile_frames_end_the_frames():
+    ok = gif([(0, 0, FULL, 5, 1, None, False, None)])[:-1]
+    huge = b"\x2c\0\0\0\0\xff\xff\xff\xff\0\x08\x01\x00\0\x3b"
+    tracemalloc.start()
+    assert len(G.decode(ok + huge)) == 1
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+    small_screen = b"GIF89a\x04\0\x04\0\x80\0\0" + bytes(6)
+    assert len(G.decode(small_screen + b"\x2c\x09\0\x09\0\x02\0\x02\0\0\x02\x01\x2c\0\x3b")) == 1  # a frame beside the screen shows nothing
+    assert G.decode(b"GIF89a\x04\0\x04\0\x81\0\0\1\2") == []  # a palette that breaks off
+
+
+def test_many_frames_leave_in_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(G, "BATCH_BYTES", 200)
+    data = gif([(0, 0, FULL, 5, 1, None, False, None)] * 10)
+    got = list(G._frames([pa.RecordBatch.from_arrays([pa.array([7]), pa.array([data], pa.binary())], names=["id", "data"])]))
+    assert [b.num_rows for b in got] == [4, 4, 2] and [x for b in got for x in b.column(1).to_pylist()] == [*range(10)]
 
 
 def check(df):
@@ -130,12 +172,15 @@ def check(df):
             assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
             media = G.encode(payload)
             assert (x.media_bytes, x.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-            assert x.feature.endswith(",".join(map(str, np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16))))
+            grey = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16).tolist()
+            assert x.feature.endswith(",".join(map(str, grey)))
+            frames = -(-len(payload) // (576 * 256))
+            assert (x.n_frames, x.duration_cs, x.red, x.green, x.blue) == (frames, 4 * frames, grey, grey, grey)
 
 
 def test_edge_cases_and_table(spark, sf):
     check(docs(spark, "feature"))
-    check(spark.read.parquet(f"{sf}/documents.parquet").limit(60))
+    check(spark.read.parquet(f"{sf}/documents.parquet"))
     assert G.stored(empty(spark)).count() == 0
 
 

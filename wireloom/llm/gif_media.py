@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,10 @@ ROWS = 256
 BINS = 16
 #: Hundredths of a second that a stored frame lasts.
 DELAY = 4
+#: Pixels of a screen or a frame that are decoded at most (a canvas has 4 bytes a pixel).
+PIXELS = 1 << 26
+#: Bytes of canvases and samples in a batch of frames, unless one frame alone has more.
+BATCH_BYTES = 32 << 20
 
 
 def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
@@ -172,24 +176,30 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decode(data: bytes, canvases: bool = True) -> list[Frame]:
-    """The frames of a GIF in order, each as it shows; raises ValueError on anything that isn't a GIF.
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF one after another, each as it shows; raises ValueError on anything that isn't a GIF.
 
     Disposal 0 and 1 leave a frame, 2 clears its rectangle, 3 brings back what
     was there.  Transparent samples leave the canvas as it is.  A stream that
-    breaks off ends the list (its last picture is filled up with sample 0).
+    breaks off ends the frames (its last picture is filled up with sample 0).
+
+    One canvas is held, made with the first frame and painted on by each: a
+    frame's is good until the next frame is asked for.  A screen of more than
+    PIXELS is refused with a ValueError, since a header of 13 bytes can claim 17 GB, and a
+    frame of more ends the frames.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     wide, high, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
+    if wide * high > PIXELS:
+        raise ValueError(f"a screen of {wide} x {high} is over {PIXELS} pixels")
     at = 13
     palette = None
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
-        palette = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
+        palette = data[at : at + n]
         at += n
-    canvas = np.zeros((high, wide, 4), np.uint8) if canvases else np.zeros((0, 0, 4), np.uint8)
-    frames: list[Frame] = []
+    canvas = None
     delay, clear, disposal, clock = 0, -1, 0, 0
     while at < len(data):
         kind = data[at]
@@ -211,41 +221,55 @@ def decode(data: bytes, canvases: bool = True) -> list[Frame]:
         colours = palette
         if flags & 0x80:
             n = 3 << ((flags & 7) + 1)
-            colours = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
+            colours = data[at : at + n]
             at += n
-        if at >= len(data):
+        if at >= len(data) or w * h > PIXELS:
             break
         bits = data[at]
         stream, at = _blocks(data, at + 1)
         flat = lzw_decode(stream, bits, w * h) if 2 <= bits <= 8 else b""
-        index = np.frombuffer(flat + bytes(w * h - len(flat)), np.uint8).reshape(h, w)
+        index = np.frombuffer(flat if len(flat) == w * h else flat + bytes(w * h - len(flat)), np.uint8).reshape(h, w)
         if flags & 0x40:
             rows = np.r_[np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)]
             straight = np.empty_like(index)
             straight[rows] = index
             index = straight
-        shown = canvas
-        if canvases:
-            before = canvas
-            canvas = canvas.copy()
-            y, x = min(high, top + h), min(wide, left + w)
-            part = index[: max(0, y - top), : max(0, x - left)]
-            table = np.zeros((256, 4), np.uint8)
-            if colours is not None:
-                table[: len(colours), :3] = colours
-            table[:, 3] = 255
+        if canvas is None:
+            canvas = np.zeros((high, wide, 4), np.uint8)
+        own = canvas[top : min(high, top + h), left : min(wide, left + w)]
+        part = index[: own.shape[0], : own.shape[1]]
+        before = own.copy() if disposal == 3 else None
+        table = np.zeros((256, 4), np.uint8)
+        if colours:
+            known = np.frombuffer(colours[: len(colours) // 3 * 3], np.uint8).reshape(-1, 3)
+            table[: len(known), :3] = known
+        table[:, 3] = 255
+        if clear < 0:
+            own[...] = table[part]
+        else:
             see = part != clear
-            canvas[top:y, left:x][see] = table[part[see]]
-            shown = canvas
-            if disposal == 2:
-                canvas = canvas.copy()
-                canvas[top:y, left:x] = 0
-            elif disposal == 3:
-                canvas = before
-        frames.append(Frame(clock, delay, left, top, index, shown))
+            own[see] = table[part[see]]
+        yield Frame(clock, delay, left, top, index, canvas)
+        if disposal == 2:
+            own[...] = 0
+        elif before is not None:
+            own[...] = before
         clock += delay
         delay, clear, disposal = 0, -1, 0
-    return frames
+
+
+def decode(data: bytes) -> list[Frame]:
+    """All frames of a small GIF, each with a canvas of its own; see :func:`frames_of`."""
+    return [replace(f, canvas=f.canvas.copy()) for f in frames_of(data)]
+
+
+def _sub_blocks(stream: bytes) -> bytes:
+    """A stream in pieces of 255 bytes, each behind its length."""
+    whole = len(stream) // 255 * 255
+    out = np.full((whole // 255, 256), 255, np.uint8)
+    out[:, 1:] = np.frombuffer(stream, np.uint8, whole).reshape(-1, 255)
+    rest = stream[whole:]
+    return out.tobytes() + (bytes([len(rest)]) + rest if rest else b"")
 
 
 def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY) -> bytes:
@@ -256,10 +280,7 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DE
     for i in range(0, len(payload), width * rows):
         part = payload[i : i + width * rows]
         out += [b"\x21\xf9\x04\x04", delay.to_bytes(2, "little"), b"\0\0", b"\x2c\0\0\0\0", width.to_bytes(2, "little"), (len(part) // width).to_bytes(2, "little"), b"\0\x08"]
-        stream = lzw_encode(part)
-        for k in range(0, len(stream), 255):
-            block = stream[k : k + 255]
-            out += [bytes([len(block)]), block]
+        out.append(_sub_blocks(lzw_encode(part)))
         out.append(b"\0")
     return b"".join([*out, b"\x3b"])
 
@@ -279,24 +300,43 @@ def payload_of(text: str | None, unit: int = WIDTH) -> tuple[bytes, int]:
     return raw + b"\xff" * (size - len(raw)), len(raw)
 
 
-def read_back(media: bytes) -> tuple[bytes, str]:
-    """The stored payload, by way of palette and canvas, and the feature text of the decoded frames.
+@dataclass
+class Stored:
+    """What reading a stored GIF back gives: the payload's size, digest and end, and sums over its timed frames."""
+
+    size: int
+    sha256: str
+    tail: bytes
+    frames: int
+    duration_cs: int
+    counts: np.ndarray  # of each colour's BINS ranges over all frames' own rectangles (3 x BINS)
 
-    The feature: number of frames, time in hundredths of a second, and the
-    ``BINS`` counts of the grey levels over all frames' own rows.
+    @property
+    def feature(self) -> str:
+        return f"frames={self.frames};cs={self.duration_cs};grey=" + ",".join(map(str, self.counts[0]))  # of grey, all channels are alike
+
+
+def read_back(media: bytes, each=None) -> Stored:
+    """The stored payload read by way of palette and canvas, frame by frame; ``each`` gets every frame's bytes.
+
+    Only one frame is held beside the media itself, whatever the payload's size.
     """
-    parts, total, clock, n = [], np.zeros((3, BINS), np.int64), 0, 0
-    for f in decode(media):
-        own = f.canvas[f.top : f.top + f.index.shape[0], f.left : f.left + f.index.shape[1], 0]
-        parts.append(own.tobytes())
+    sha, tail, total, clock, n, size = hashlib.sha256(), b"", np.zeros((3, BINS), np.int64), 0, 0, 0
+    for f in frames_of(media):
+        own = f.canvas[f.top : f.top + f.index.shape[0], f.left : f.left + f.index.shape[1], 0].tobytes()
+        sha.update(own)
+        tail = (tail + own[-32:])[-32:]
+        size += len(own)
         total += histogram(f, own=True)
         clock = f.start_cs + f.delay_cs
         n += 1
-    return b"".join(parts), f"frames={n};cs={clock};grey=" + ",".join(map(str, total[0]))  # of grey, all channels are alike
+        if each:
+            each(own)
+    return Stored(size, sha.hexdigest(), tail, n, clock, total)
 
 
 def _media(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in common.sliced(batches):
+    for b in common.sliced(batches, held=BATCH_BYTES // 4):
         made = [(n, encode(payload)) for payload, n in map(payload_of, b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], names=["id", "n_bytes", "media"])
 
@@ -312,25 +352,30 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return common.spread(rows).mapInArrow(_media, f"id {dict(rows.dtypes)['id']}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
+_KINDS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "n_frames": pa.int64(), "duration_cs": pa.int64()} | {c: pa.list_(pa.int64()) for c in ("red", "green", "blue")}
+
+
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in common.sliced(batches):
-        out = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        rows = []
         for n, media in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            back, feature = read_back(media)
-            for k, v in zip(out, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)):
-                out[k].append(v)
-        text = {"payload_sha256", "media_sha256", "feature"}
-        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, pa.string() if k in text else pa.int64()) for k, v in out.items()]], names=["id", *out])
+            back = read_back(media)
+            rows.append((n, back.size, back.sha256, zlib.crc32(back.tail), len(media), hashlib.sha256(media).hexdigest(), back.feature, back.frames, back.duration_cs, *back.counts.tolist()))
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows), _KINDS.values())]], names=["id", *_KINDS])
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text stored as a GIF and read back from the media column: a row of sizes, digests and features per row.
+    """Every text stored as a GIF and read back from the media column: a row per row.
 
-    Null and empty texts are one unit of bytes 255.  Equal texts give equal values;
-    repeated rows stay repeated; an empty table gives an empty one.
+    (id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
+    n_frames, duration_cs, red, green, blue): sizes, digests, and the colour histograms
+    summed over the timed frames.  Null and empty texts are one unit of bytes
+    255.  Equal texts give equal values; repeated rows stay repeated; an empty table
+    gives an empty one; other columns are ignored, whatever their names.
     """
     rows = media(docs, id_col, text_col).withColumnRenamed(id_col, "id")
-    schema = f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    text = {pa.string(): "string", pa.int64(): "long"}
+    schema = ", ".join([f"id {dict(rows.dtypes)['id']}", *[f"{c} {text.get(k, 'array<long>')}" for c, k in _KINDS.items()]])
     return rows.mapInArrow(_store, schema).withColumnRenamed("id", id_col)
 
 
@@ -343,21 +388,31 @@ def _frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["frame", "start_cs", "delay_cs", "left", "top", "width", "height", "samples", "red", "green", "blue"]
     for b in common.sliced(batches, 16):
         for id_, data in zip(b.column(0), b.column(1).to_pylist()):
-            try:
-                found = decode(data or b"")
-            except ValueError:
-                continue
-            rows = [(i, f.start_cs, f.delay_cs, f.left, f.top, f.index.shape[1], f.index.shape[0], f.canvas.tobytes(), *histogram(f).tolist()) for i, f in enumerate(found)]
+            rows, held, found = [], 0, frames_of(data or b"")
+            made = lambda: pa.RecordBatch.from_arrays([pa.array([id_.as_py()] * len(rows), b.schema.field(0).type), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=["id", *names])  # noqa: B023, E731
+            n = 0
+            while True:
+                try:
+                    f = next(found, None)
+                except ValueError:
+                    f = None
+                if f is None:
+                    break
+                rows.append((n, f.start_cs, f.delay_cs, f.left, f.top, f.index.shape[1], f.index.shape[0], f.canvas.tobytes(), *histogram(f).tolist()))
+                n, held = n + 1, held + f.canvas.nbytes
+                if held >= BATCH_BYTES:
+                    yield made()
+                    rows, held = [], 0
             if rows:
-                ids = pa.array([id_.as_py()] * len(rows), b.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=["id", *names])
+                yield made()
 
 
 def frames(media: DataFrame, id_col: str, data_col: str) -> DataFrame:
     """One row per frame of every GIF in ``media``: timing, place, RGBA canvas and colour histograms.
 
-    Null values and bytes that aren't a GIF give no rows.  Each media object is
-    read whole by one task, and its frames leave it one object at a time.
+    Null values, bytes that aren't a GIF and screens over PIXELS give no rows; an empty
+    table gives an empty one.  Each media object is read whole by one task, and
+    its frames leave it in batches of about BATCH_BYTES.
     """
     common.shipped(media.sparkSession)
     rows = media.select(F.col(id_col).alias("id"), F.col(data_col).alias("data"))
