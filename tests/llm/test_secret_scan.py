@@ -92,6 +92,16 @@ def test_masked_texts_hold_no_key_body(spark):
         assert not [k for k in (*KEY, BEGIN, END) if k in t], t
 
 
+def test_a_key_s_label_may_have_any_length():
+    label = "VERY " * 200
+    text = f"x -----BEGIN {label}PRIVATE KEY-----\n{KEY[0]}\n-----END {label}PRIVATE KEY----- y"
+    assert S.mask(text, S.spans(text)) == "x [pem] y"
+    began = time.process_time()
+    for part in ("-----BEGIN ", "-----BEGIN " + "A" * 500, "PRIVATE KEY"):
+        S.spans("-----BEGIN " + part * (2_000_000 // len(part)))
+    assert time.process_time() - began < 10
+
+
 def test_many_markers_take_linear_time():
     for part in (f"{BEGIN}\n", f"{BEGIN}\nA: b", f"{BEGIN}\n{KEY[0]}\n", "-----END " * 3 + BEGIN):
         began = time.process_time()
@@ -147,6 +157,44 @@ def test_ledger_is_incremental(spark):
     assert other.count() == 9
 
 
+def test_two_scans_find_what_one_does_and_scan_no_blob_twice(spark, sf, monkeypatch):
+    for df in (docs(spark, "spans"), spark.read.parquet(f"{sf}/documents.parquet")):
+        one = sorted(map(tuple, S.digest_columns(S.findings(*S.scan(df))).collect()), key=repr)
+        scans, scan = [], S.scan
+
+        def kept(*a, **kw):
+            paths, ledger = scan(*a, **kw)
+            scans.append(ledger.select("blob").collect())
+            return paths, ledger
+
+        monkeypatch.setattr(S, "scan", kept)
+        assert sorted(map(tuple, S.digest_columns(S.findings(*S.in_two_scans(df))).collect()), key=repr) == one
+        monkeypatch.setattr(S, "scan", scan)
+        first, both = ([r.blob for r in x] for x in scans)
+        assert 0 < len(first) < len(both) == len(set(both)) and set(first) < set(both)
+    assert S.in_two_scans(empty(spark))[0].count() == 0
+
+
+def test_a_changed_rule_is_a_new_version():
+    """The version follows from the rules, so nobody has to remember to change it."""
+    import importlib
+
+    before = S.RULES_VERSION
+    source = open(S.__file__, encoding="utf-8").read()
+    assert importlib.import_module(S.__name__).RULES_VERSION == before
+    for old, new in (("{36,}\\b", "{30,}\\b"), ("AKIA[A-Z0-9]{16,}", "AKIA[A-Z0-9]{15,}"), ("ASSIGN_LEAST = 6", "ASSIGN_LEAST = 7")):
+        assert old in source
+        space = {"__name__": S.__name__, "__package__": S.__package__}
+        exec(compile(source.replace(old, new, 1), "changed", "exec"), space)  # noqa: S102
+        assert space["RULES_VERSION"] != before
+
+
+def test_findings_beyond_the_bound_meet_by_an_ordinary_join(spark, monkeypatch):
+    want = sorted(map(tuple, S.redacted(docs(spark)).collect()), key=repr)
+    monkeypatch.setattr(S, "SKIP_BOUND", 0)
+    assert sorted(map(tuple, S.redacted(docs(spark)).collect()), key=repr) == want
+
+
 def test_redacted(spark):
     out = S.redacted(docs(spark))
     assert out.columns == docs(spark).columns and out.count() == docs(spark).count()

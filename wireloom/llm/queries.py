@@ -57,7 +57,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, ledger = secret_scan.scan(table(spark, sf_dir, "documents"))
+    paths, ledger = secret_scan.in_two_scans(table(spark, sf_dir, "documents"))
     return secret_scan.digest_columns(secret_scan.findings(paths, ledger))
 
 

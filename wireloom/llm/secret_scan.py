@@ -8,6 +8,7 @@ already has are skipped.  What was found is joined back to all the paths.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,13 +25,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Rules of our own beside the base ones.
 EXTRA = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----")),
+    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("vcs", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}\b")),
 )
 # Where the key that a pem marker opens ends: its END line, or without one the headers
 # and base64 that follow.  Newlines may be escaped, as in JSON and settings.
-PEM_END = re.compile(r"-----END [A-Z ]{0,24}PRIVATE KEY-----")
+PEM_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 PEM_BODY = re.compile(r"""(?x)
     (?: (?: NL [A-Za-z][A-Za-z0-9-]*+:\ [^\r\n\\]*+ )++ (?: NL (?= NL ) )? )?
     (?: [ \t]*+ [A-Za-z0-9+/]{16,}+ ={0,2}+ | NL [A-Za-z0-9+/]++ ={0,2}+ (?= [ \t"',;]*+ (?: \\[nr] | [\r\n] | \Z ) ) | (?: NL )++ [A-Za-z0-9+/]{16,}+ ={0,2}+ )++
@@ -43,8 +44,8 @@ JWT_OPEN = re.compile(r"\beyJ")
 KINDS = ("assign", "access", "hex", *(k for k, _ in EXTRA))
 BASE = KINDS[:3]
 
-#: Change this with the rules: the ledger keys what was scanned on it.
-RULES_VERSION = "5"
+#: The ledger keys what was scanned on this: a digest of all rules, so that changing one makes every blob unseen.
+RULES_VERSION = hashlib.sha256("\n".join([*KINDS, *(f"{r.flags} {r.pattern}" for r in (ASSIGN, ACCESS, HEX, *(r for _, r in EXTRA), PEM_END, PEM_BODY, JWT_RUNS, JWT_OPEN)), str(ASSIGN_LEAST)]).encode()).hexdigest()[:16]
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
@@ -105,7 +106,7 @@ def blob_of(text_col: str = "text"):
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
 
 
-#: Rows of a skip list up to which it goes to every executor whole (some 100 bytes each).
+#: Rows of a skip list, or rows and spans of a table of findings, up to which it goes to every executor whole (some 100 bytes each).
 SKIP_BOUND = 200_000
 
 
@@ -152,6 +153,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     return paths.select(F.col("__id").alias(id_col), F.col("__blob").alias("blob")), out
 
 
+#: First hex digits of the blobs that :func:`in_two_scans` has scanned before the rest comes.
+EARLIER = "01234567"
+
+
+def in_two_scans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger) of all of ``docs``, scanned as an earlier state and then as it stands now.
+
+    The earlier state has about half of the blobs (by their digest).  Its written ledger is
+    what the second scan starts from: that one goes over all rows, and only blobs
+    that the first hasn't seen are scanned.
+    """
+    earlier = docs.filter(F.substring(blob_of(text_col), 1, 1).isin(*EARLIER))
+    _, ledger = scan(earlier, id_col, text_col)
+    return scan(docs, id_col, text_col, ledger=ledger)
+
+
 def findings(paths: DataFrame, ledger: DataFrame, version: str = RULES_VERSION) -> DataFrame:
     """``paths`` with the spans of their blob under ``version`` (an empty list: none)."""
     got = ledger.filter((F.col("version") == version) & (F.size("spans") > 0)).select("blob", "spans")
@@ -192,12 +209,15 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with every found span masked; all rows and columns stay.
 
     The blobs that hold anything are few; the texts meet them by blob.
-    ``n_chars``, if there, follows the text.
+    ``n_chars``, if there, follows the text.  Null texts stay null, and nulls
+    in other columns stay; repeated rows stay repeated; an empty table gives an
+    empty one.
     """
     names = docs.columns
     _, ledger = scan(docs, id_col, text_col)
     got = common.written(ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("__b"), F.col("spans").alias("__spans")), "found")
-    hint = F.broadcast(got) if got.count() <= SKIP_BOUND else got
+    blobs, held = got.agg(F.count("*"), F.coalesce(F.sum(F.size("__spans")), F.lit(0))).head()
+    hint = F.broadcast(got) if blobs + held <= SKIP_BOUND else got
     rows = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], blob_of(text_col).alias("__blob"))
     rows = rows.join(hint, F.col("__blob") == F.col("__b"), "left").select("t", "__spans", *[f"c{i}" for i, c in enumerate(names) if c != text_col])
     kinds = dict(docs.dtypes)
