@@ -77,6 +77,23 @@ def test_materialised_holds_the_budgets(spark, sf):
     assert dict(words) == plan and short <= len(plan)
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_materialised_holds_the_budgets_with_ties(spark, monkeypatch, bound):
+    """Rows that agree in id, source and size, where the cut falls among them."""
+    monkeypatch.setattr(mixing, "SOURCES_BOUND", bound)
+    for copies, words in ((3, 7), (5, 11), (2, 1), (40, 13)):
+        data = [(1, " ".join(["w"] * words) + ("" if i % 2 else " "), "a", 0) for i in range(copies)] + [(2, "one two three", "b", 13), (3, "x y", "c", 3), (4, None, "c", None), (5, "q", None, 1)]
+        df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long")
+        out = mixing.materialised(df).collect()
+        got, want = defaultdict(int), {}
+        for r in out:
+            got[r.source] += size(r.text)
+            assert r.text is None or r.n_chars == len(r.text) or (r.doc_id == 1 and r.n_chars == 0)
+        for r in mixing.mixed(mixing.sizes_of(df)).collect():
+            want[r.source] = int(r.target)
+        assert {s: n for s, n in got.items() if n} == {s: n for s, n in want.items() if n}, (copies, words)
+
+
 def test_materialised_edge_cases(spark):
     out = mixing.materialised(docs(spark, "size"))
     assert out.columns == docs(spark, "size").columns and out.count() > 0

@@ -18,6 +18,8 @@ from . import common
 
 #: Key ranges a source is dealt over.
 RANGES = 1024
+#: Sources up to which their plan (some 100 bytes a source) goes to every executor whole; beyond it is an ordinary join.
+SOURCES_BOUND = 100_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -66,8 +68,9 @@ def mixed(rows: DataFrame, source_col: str = "source", size_col: str = "size", i
     cut``, at most ``most * size``.  The taken words of a source add up to its
     budget exactly.
 
-    The driver holds one (source, size) pair a source: mixing weights are a
-    list of sources, so their number is bounded by that list, not by the rows.
+    The driver holds one (source, size) pair a source, as the targets depend
+    on all of them together; it goes to every executor whole up to SOURCES_BOUND
+    sources, and by an ordinary join beyond.
     Null sources are one source, the last.  Null sizes count 0.  Rows that
     agree in id, source and size are interchangeable, so ties don't matter.
     Sources of no words get the target 0; an empty table gives an empty one.
@@ -87,6 +90,7 @@ def mixed(rows: DataFrame, source_col: str = "source", size_col: str = "size", i
     plan = spark.createDataFrame([(s, n, want[s]) for s, n in sizes], "__p string, source_size long, target double")
     ahead = F.sum("__n").over(Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.withColumn("__ahead", F.coalesce(ahead, F.lit(0))).drop("__n")
+    plan = F.broadcast(plan) if len(sizes) <= SOURCES_BOUND else plan.hint("merge")
     offsets = offsets.join(plan, offsets["__s"].eqNullSafe(plan["__p"])).drop("__p")
     own = Window.partitionBy(source_col, "__range").orderBy("__key", F.col(id_col), size_col)
     inside = F.sum(size_col).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size_col)
@@ -119,11 +123,15 @@ def materialised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A row comes once per whole epoch and once more if the last pass takes all
     of it; the row that the cut falls into comes once more with its text up
-    to the cut (rows that agree there in id, source and size share those words
-    evenly).  Rows that the budget doesn't reach are left out; rows of no words
-    come once per whole epoch.  Texts are never shuffled: what a row gets
-    follows from its own key and its source's last key, and those are one row a
-    source.  ``n_chars``, if there, follows the text.
+    to the cut (of rows that agree there in id, source and size, those with the
+    lower texts come first).  So a source's rows hold exactly its budget's
+    words.  Rows that the budget doesn't reach are left out; rows of no words
+    come once per whole epoch.  Texts are not shuffled, but for rows that agree in all
+    that with their source's last row: what a row gets follows from its own key
+    and its source's last key, and those are one row a source.  ``n_chars``, if
+    there, follows the text.  Null texts have no words and null sources are one
+    source; other columns stay as they are, whatever their names; an empty
+    table gives an empty one.
     """
     names = docs.columns
     light = mixed(sizes_of(docs, id_col, text_col, source_col), source_col, "size", id_col, weights, seed=seed, keep_key=True)
@@ -131,15 +139,23 @@ def materialised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = F.struct("__key", F.col(id_col).alias("id"), "size")
     last = light.filter("cut > 0").groupBy(F.col(source_col).alias("__s")).agg(F.max(at).alias("__last"))
     tied = light.groupBy(F.col(source_col).alias("__t"), at.alias("__at")).agg(F.sum("cut").alias("__cut"), F.count("*").alias("__k"))
-    last = last.join(tied, last["__s"].eqNullSafe(tied["__t"]) & (last["__last"] == tied["__at"])).select("__s", "__last", F.floor(F.col("__cut") / F.col("__k")).cast("long").alias("__cut"))
+    last = last.join(tied, last["__s"].eqNullSafe(tied["__t"]) & (last["__last"] == tied["__at"])).select("__s", "__last", "__cut", "__k")
     plan = light.groupBy(F.col(source_col).alias("__q")).agg(F.max("epochs").alias("__epochs"))
-    plan = plan.join(last, plan["__q"].eqNullSafe(last["__s"]), "left").select("__q", "__epochs", "__last", "__cut")
-    plan = spark_rows(plan)
+    plan = plan.join(last, plan["__q"].eqNullSafe(last["__s"]), "left").select("__q", "__epochs", "__last", "__cut", "__k")
+    plan = common.written(plan, "mix-plan")
+    sources, most_tied = plan.agg(F.count("*"), F.max("__k")).head()
     own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     text, doc, src = (F.col(f"c{names.index(c)}") for c in (text_col, id_col, source_col))
     own = own.withColumn("size", word_count(text))
     own = own.withColumn("__at", F.struct(F.xxhash64(F.lit(seed), doc, src, F.col("size")).alias("__key"), doc.alias("id"), "size"))
-    own = own.join(F.broadcast(plan), src.eqNullSafe(plan["__q"]))
+    own = own.join(F.broadcast(plan) if sources <= SOURCES_BOUND else plan, src.eqNullSafe(plan["__q"]))
+    if (most_tied or 0) > 1:
+        # rows that agree with the last one share its words one after another: only they are put in order
+        tie = F.coalesce(F.col("__at") == F.col("__last"), F.lit(False))
+        order = Window.partitionBy(src).orderBy(text)
+        before = (F.row_number().over(order) - 1) * F.col("size")
+        some = own.filter(tie).withColumn("__cut", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__cut") - before)).cast("long"))
+        own = own.filter(~tie).unionByName(some)
     inside = F.coalesce(F.col("__at") < F.col("__last"), F.lit(False)) & (F.col("size") > 0)
     edge = F.coalesce(F.col("__at") == F.col("__last"), F.lit(False))
     full = inside | (edge & (F.col("__cut") >= F.col("size")))
@@ -154,12 +170,3 @@ def materialised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if "n_chars" in names:
         changed["n_chars"] = F.when(F.col("__short"), F.length(cut).cast("long")).otherwise(F.col(f"c{names.index('n_chars')}"))
     return own.select(*[changed.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
-
-
-def spark_rows(plan: DataFrame) -> DataFrame:
-    """One row a source, brought to the driver once and made a local table.
-
-    The list of sources is the list of mixing weights, which the driver holds
-    anyway; it doesn't grow with the documents.
-    """
-    return plan.sparkSession.createDataFrame(plan.collect(), plan.schema)
