@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +25,48 @@ from . import common
 SAMPLE = 20_000
 #: Preference pairs drawn from them.
 PAIRS = 200_000
+#: How many times more strongly the weights of hashed features are held near 0 than those of style features.
+HASHED_RIDGE = 100.0
+#: Pairs whose differences are held at a time.
+PAIR_BLOCK = 20_000
 #: The score from which a document counts as good.
 CUT = 0.3
 #: The share of labelled rows that learning never sees: crc32(doc_id) mod 5 is 0.
 FOLDS = 5
 
-NAMES = (
+STYLE = (
     "log_bytes", "log_words", "word_len", "upper", "digit", "blank", "newline", "high_byte", "comma_stop", "mark_bang",
     "symbol", "pipe", "other_punct", "same_as_last", "unique", "top_word", "has_symbol", "has_upper", "has_repeat", "has_pipe", "has_bang",
 )
+#: Buckets that the words, and the runs of three bytes, of a text are hashed to.
+BUCKETS = 64
+NAMES = (*STYLE, *(f"word_{i}" for i in range(BUCKETS)), *(f"bytes_{i}" for i in range(BUCKETS)))
 
 _COMMA_STOP = np.frombuffer(b",.;:'\"-()", np.uint8)
 _SYMBOL = np.frombuffer(b"#$%&*@^~<>{}[]\\/_+=`", np.uint8)
 
 
+def _hashed(raw: bytes, kinds: dict[bytes, int], w: int) -> np.ndarray:
+    """Square roots of the shares of a text's words, and of its runs of three bytes, that fall in each bucket."""
+    out = np.zeros(2 * BUCKETS)
+    if w:
+        at = np.fromiter(map(crc32, kinds), np.uint32, len(kinds)) % np.uint32(BUCKETS)
+        out[:BUCKETS] = np.bincount(at, np.fromiter(kinds.values(), float, len(kinds)), BUCKETS) / w
+    for i in range(0, len(raw) - 2, _PIECE):
+        b = np.frombuffer(raw, np.uint8)[i : i + _PIECE + 2].astype(np.uint32)
+        h = (b[:-2] * _MIX[0] + b[1:-1] * _MIX[1] + b[2:] * _MIX[2]) * _MIX[3] >> np.uint32(26)
+        out[BUCKETS:] += np.bincount(h, minlength=BUCKETS) / (len(raw) - 2)
+    return np.sqrt(out)
+
+
+# Odd multipliers of the hash of three bytes; it keeps the top six bits, so there are 64 buckets.
+_MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
+#: Bytes that are hashed at a time.
+_PIECE = 1 << 20
+
+
 def features(text: str | None) -> np.ndarray:
-    """Style features of a whole text, one number a name in NAMES; null is the empty text."""
+    """Style and hashed features of a whole text, one number a name in NAMES; null is the empty text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     n = len(raw)
     words = raw.split()
@@ -55,7 +82,7 @@ def features(text: str | None) -> np.ndarray:
         kinds[x] = kinds.get(x, 0) + 1
     top = max(kinds.values(), default=0)
     per_word = lambda k: float(k) / w if w else 0.0
-    return np.array(
+    style = np.array(
         [
             np.log1p(n), np.log1p(w), n / w if w else 0.0, share(upper), share(count[48:58].sum()), share(count[32]), share(count[10]),
             share(count[128:].sum()), share(calm), share(bang), share(symbol), share(pipe), share(max(0, punct - calm - symbol - bang - pipe)),
@@ -63,6 +90,7 @@ def features(text: str | None) -> np.ndarray:
             min(1.0, 10 * per_word(symbol)), min(1.0, 5 * share(upper)), min(1.0, 5 * per_word(again)), min(1.0, 10 * per_word(pipe)), min(1.0, 10 * per_word(bang)),
         ]
     )
+    return np.concatenate([style, _hashed(raw, kinds, w)])
 
 
 @dataclass(frozen=True)
@@ -96,15 +124,19 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-
     scale = np.where(scale > 1e-12, scale, 1.0)
     z = np.clip((x - mean) / scale, -8, 8)
     draw = np.random.default_rng(seed)
-    d = z[draw.choice(good, pairs)] - z[draw.choice(bad, pairs)]
-    w = np.zeros(d.shape[1])
+    first, second = draw.choice(good, pairs), draw.choice(bad, pairs)
+    w = np.zeros(z.shape[1])
+    hold = ridge * np.where(np.arange(len(w)) < len(STYLE), 1.0, HASHED_RIDGE)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -500, 500)))
-        grad = d.T @ (p - 1) / pairs + ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + ridge * np.eye(len(w))
+        grad, hess = hold * w, np.diag(hold)
+        for i in range(0, pairs, PAIR_BLOCK):
+            d = z[first[i : i + PAIR_BLOCK]] - z[second[i : i + PAIR_BLOCK]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -500, 500)))
+            grad += d.T @ (p - 1) / pairs
+            hess += (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hess, grad)
         w = w - step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     s = z @ w
     order = np.argsort(s, kind="stable")
@@ -121,7 +153,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in common.sliced(batches):
         x = [features(t).tolist() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["id", "x", "label"])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -133,9 +165,12 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """A ranker from the labelled documents outside the held-out fold.
 
     At most ``sample`` labels are used, those with the lowest hash of their id;
-    only those go to the executors and only their features come back, so texts
-    are not shuffled.  Labels other than 0 and 1, null ids and ids with
-    contradicting labels are left out; labels of no document have no effect.
+    only those go to the executors and only their features come back, one row a
+    label however often its document is repeated (of different texts of one id, the one with
+    the least features), so texts are not shuffled.  Labels other than 0
+    and 1, null ids and ids with contradicting labels are left out; labels of no
+    document have no effect; without any there is nothing to prefer (see :func:`fit`).
+    Columns beside the id, the text and the label are never read.
     """
     common.shipped(docs.sparkSession)
     use = labels.select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("__label")).filter("__label in (0, 1) and __lid is not null")
@@ -143,8 +178,9 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     use = use.filter("__label = __most").orderBy(F.xxhash64("__lid"), "__lid").limit(sample).select("__lid", "__label")
     use = docs.sparkSession.createDataFrame(use.collect(), use.schema)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = rows.join(F.broadcast(use), rows["__id"] == use["__lid"]).select("__label", "__text")
-    got = rows.mapInArrow(_features, "label int, x array<double>").toArrow()
+    rows = rows.join(F.broadcast(use), rows["__id"] == use["__lid"]).select("__lid", "__text", "__label")
+    made = rows.mapInArrow(_features, f"id {dict(rows.dtypes)['__lid']}, x array<double>, label int")
+    got = made.groupBy("id").agg(F.min("x").alias("x"), F.min("label").alias("label")).select("x", "label").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
     y = np.array(got.column("label").to_pylist(), dtype=int)
     order = np.lexsort((*x.T[::-1], y))  # the same model whatever the order of the tasks
@@ -174,7 +210,11 @@ def scored(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str
 
 
 def kept(docs: DataFrame, model: Ranker, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``cut`` or more, all columns as they are."""
+    """The rows of ``docs`` whose text scores ``cut`` or more, all columns as they are.
+
+    Null texts are empty texts; nulls in other columns stay; repeated rows are
+    all kept or none; an empty table gives an empty one.
+    """
     common.shipped(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
