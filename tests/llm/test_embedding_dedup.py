@@ -80,6 +80,40 @@ def test_recall_over_many_cells(spark, monkeypatch, spread):
     assert recall >= 0.9
 
 
+def test_very_many_lengths(spark, monkeypatch):
+    """Vectors of 300 different lengths, two of which have enough for an index of their own: one pass fits them all."""
+    monkeypatch.setattr(E, "ONE_CELL", 100)
+    monkeypatch.setattr(E, "PER_CELL", 5)
+    fits, fit = [], E.MultiIndex.fit.__func__
+    monkeypatch.setattr(E.MultiIndex, "fit", classmethod(lambda cls, x, n, *a, **kw: (fits.append((x.shape, n)), fit(cls, x, n, *a, **kw))[1]))
+    draw = np.random.default_rng(9)
+    rows = []
+    for d in range(1, 301):
+        v = draw.normal(size=d)
+        rows += [(len(rows) + i, (v + 0.02 * i * draw.normal(size=d)).tolist()) for i in range(2)]
+    for d in (6, 9):
+        rows += [(10_000 * d + i, v.tolist()) for i, v in enumerate(clusters(30, 5, 0.2, d, d).astype(float))]
+    have = {r[0]: r for r in got(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5))}
+    want = {r[0]: r for r in slow(rows)}
+    assert sorted(fits) == [((152, 6), 152), ((152, 9), 152)]
+    assert all(have[i][1] <= want[i][1] for i in want) and sum(r[1] for r in have.values()) >= 0.95 * sum(r[1] for r in want.values())
+    assert all(have[i] == want[i] for i in have if i < 600 and len(rows[i][1]) not in (6, 9))
+
+
+def test_codewords_follow_the_vectors():
+    assert [E.words_for(n) for n in (1, 799, 800, 51_200, 10**9, 10**10, 10**12)] == [1, 1, 2, 16, 2236, 7071, 8192]
+
+
+def test_distances_are_held_in_parts(monkeypatch):
+    x = clusters(40, 10, 0.3).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(E, "PER_CELL", 5)
+    one = E.MultiIndex.fit(x, len(x), 0.9)
+    monkeypatch.setattr(E, "HELD", 200)
+    two = E.MultiIndex.fit(x, len(x), 0.9)
+    assert np.allclose(one.first, two.first) and np.allclose(one.second, two.second) and abs(one.margin - two.margin) < 1e-9
+
+
 def test_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = slow([(r.vec_id, r.embedding) for r in df.collect()])

@@ -23,14 +23,20 @@ from pyspark.sql import functions as F
 from . import common
 from .components import Forest, components
 
-#: Different vectors of one length that the codebooks and the margin are fitted on at most.
+#: Different vectors of one length that the codebooks and the margin are fitted on: this many, or eight a codeword if that is more.
 SAMPLE = 8192
+#: Made partners, and links within the sample, that the margin is set on at most.
+PROBES, LINKS = 2000, 200_000
 #: Share of pairs exactly at the threshold that the margin is to let meet.
 TARGET = 0.99
 #: Different vectors a cell should hold on average.
 PER_CELL = 200
-#: Codewords of a half at most.
-MOST_WORDS = 1024
+#: Different vectors of a length below which they are one cell, which needs no fit.
+ONE_CELL = 4 * PER_CELL
+#: Codewords of a half at most: they grow with the square root of the vectors up to 1.3e10 of them.
+MOST_WORDS = 8192
+#: Distances to codewords that are held at a time.
+HELD = 1 << 22
 #: Vectors of one cell, and visitors of one cell, that one task holds against each other.
 BLOCK, VISITORS = 2048, 16384
 
@@ -63,7 +69,7 @@ def _clean(wide: bool):
 def _kmeans(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 8) -> np.ndarray:
     words = x[draw.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = _squared(x, words).argmin(axis=1)
+        own = np.concatenate([_squared(part, words).argmin(axis=1) for part in _parts(x, k)])
         n = np.bincount(own, minlength=k)
         total = np.zeros_like(words)
         np.add.at(total, own, x)
@@ -71,10 +77,21 @@ def _kmeans(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 8) -
     return words
 
 
+def _parts(x: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Rows of ``x`` in parts whose distances to ``k`` codewords fit in HELD."""
+    step = max(16, HELD // k)
+    return (x[i : i + step] for i in range(0, len(x), step))
+
+
 def _squared(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * x @ words.T + (words * words).sum(axis=1))
 
 
+def words_for(n: int) -> int:
+    """Codewords of a half for ``n`` different vectors."""
+    return int(np.clip(np.sqrt(n / PER_CELL), 1, MOST_WORDS))
+
+
 @dataclass(frozen=True)
 class MultiIndex:
     """Two codebooks and the margin up to which cells are visited."""
@@ -88,10 +105,10 @@ class MultiIndex:
         """Codebooks for ``n`` vectors and the margin for ``target``, from the sample ``x`` of unit vectors."""
         draw = np.random.default_rng(seed)
         d = x.shape[1]
-        k = int(np.clip(np.sqrt(n / PER_CELL), 1, max(1, min(MOST_WORDS, len(x) // 8))))
+        k = max(1, min(words_for(n), len(x) // 8))
         half = d // 2
         index = cls(_kmeans(x[:, :half], k, draw), _kmeans(x[:, half:], k, draw), 0.0)
-        probe = x[draw.choice(len(x), min(len(x), 2000), replace=False)]
+        probe = x[draw.choice(len(x), min(len(x), PROBES), replace=False)]
         off = draw.normal(size=probe.shape)
         off -= (off * probe).sum(axis=1)[:, None] * probe
         size = np.linalg.norm(off, axis=1)[:, None]
@@ -100,7 +117,7 @@ class MultiIndex:
         links = x[:2048] @ x.T >= threshold
         i, j = np.nonzero(np.triu(links, 1))
         if len(i):
-            i, j = i[:200_000], j[:200_000]
+            i, j = i[:LINKS], j[:LINKS]
             margin = max(margin, float(np.quantile(index._gap(x[i], x[j]), max(target, 0.999))))
         return cls(index.first, index.second, margin + 1e-9)
 
@@ -110,11 +127,14 @@ class MultiIndex:
 
     def _gap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """How far beyond its own cell the nearer of two vectors must look to meet the other."""
-        (x1, x2), (y1, y2) = self.halves(x), self.halves(y)
-        at = np.arange(len(x))
-        xy = x1[at, y1.argmin(axis=1)] + x2[at, y2.argmin(axis=1)] - x1.min(axis=1) - x2.min(axis=1)
-        yx = y1[at, x1.argmin(axis=1)] + y2[at, x2.argmin(axis=1)] - y1.min(axis=1) - y2.min(axis=1)
-        return np.minimum(xy, yx)
+        out = []
+        for p, q in zip(_parts(x, len(self.first)), _parts(y, len(self.first))):
+            (x1, x2), (y1, y2) = self.halves(p), self.halves(q)
+            at = np.arange(len(p))
+            xy = x1[at, y1.argmin(axis=1)] + x2[at, y2.argmin(axis=1)] - x1.min(axis=1) - x2.min(axis=1)
+            yx = y1[at, x1.argmin(axis=1)] + y2[at, x2.argmin(axis=1)] - y1.min(axis=1) - y2.min(axis=1)
+            out.append(np.minimum(xy, yx))
+        return np.concatenate(out)
 
     def visits(self, d1: np.ndarray, d2: np.ndarray) -> list[int]:
         """Cells by ascending distance, the vector's own first, until the margin is passed.
@@ -140,12 +160,35 @@ class MultiIndex:
         return out
 
 
+def _fitted(nodes: DataFrame, wide: bool, threshold: float, target: float, sample: int) -> dict[int, MultiIndex]:
+    """An index for each length with ONE_CELL vectors or more, from one pass over ``nodes`` for all of them.
+
+    A length's sample is those of its vectors with the lowest digests.  The driver holds
+    the samples of such lengths only, ``sample`` vectors or eight a codeword each.
+    """
+    many = nodes.groupBy("dim").count().filter(F.col("count") >= ONE_CELL).collect()
+    if not many:
+        return {}
+    want = {d: max(sample, 8 * words_for(n)) for d, n in many}
+    # a digest's first seven bytes are a number below 2^56: a fifth more than wanted, so that the lowest are among them
+    below = nodes.sparkSession.createDataFrame([(d, int(min(1.0, 1.2 * want[d] / n) * (1 << 56))) for d, n in many], "__d int, __below long")
+    low = F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long")
+    drawn: dict[int, list[tuple[bytes, bytes]]] = {d: [] for d in want}
+    for d, key, vec in nodes.join(F.broadcast(below), F.col("dim") == F.col("__d")).filter(low < F.col("__below")).select("dim", "key", "vec").collect():
+        drawn[d].append((bytes(key), bytes(vec)))
+    counts = dict(map(tuple, many))
+    return {d: MultiIndex.fit(np.stack([unit(v, wide) for _, v in sorted(rows)[: want[d]]]), counts[d], threshold, target) for d, rows in drawn.items()}
+
+
 def _assign(indexes: dict[int, MultiIndex], wide: bool):
+    """Each vector's cell and the cells that it visits; lengths without an index are one cell."""
+    rows = HELD // max([1024, *(len(i.first) for i in indexes.values())])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches, rows):
             dims, vecs = b.column(2).to_pylist(), b.column(3).to_pylist()
-            home, seen = [0] * len(dims), [[]] * len(dims)
-            for d in set(dims):
+            home, seen = [0] * len(dims), [[0] for _ in dims]
+            for d in indexes.keys() & set(dims):
                 at = [i for i, x in enumerate(dims) if x == d]
                 index = indexes[d]
                 d1, d2 = index.halves(np.stack([unit(vecs[i], wide) for i in at]))
@@ -228,9 +271,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Null ids count as no id when the smallest is taken; repeated rows are rows
     of their own; an empty table gives an empty one; other columns are ignored.
 
-    Equal vectors are one node with a count.  The index is fitted on at most
-    ``sample`` different vectors of each length (those with the lowest digest),
-    and every vector is indexed.  A cell with many vectors or visitors is dealt
+    Equal vectors are one node with a count.  The index is fitted on ``sample``
+    different vectors of each length (those with the lowest digests; eight a
+    codeword if that is more), and every vector is indexed.  Lengths with fewer than ONE_CELL
+    vectors are one cell.  A cell with many vectors or visitors is dealt
     out in blocks, all of which are compared; links leave a block as counts and
     a spanning forest, never as pairs.
     """
@@ -243,10 +287,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     whole = base.filter("key is not null")
     nodes = whole.groupBy("dim", "key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "emb-nodes")
-    indexes = {}
-    for dim, n in nodes.groupBy("dim").count().collect():
-        part = nodes.filter(F.col("dim") == dim).orderBy("key").limit(sample).select("vec").collect()
-        indexes[dim] = MultiIndex.fit(np.stack([unit(bytes(r[0]), wide) for r in part]), n, threshold, target)
+    indexes = _fitted(nodes, wide, threshold, target, sample)
     placed = nodes.select("node", "n", "dim", "vec").mapInArrow(_assign(indexes, wide), "node long, n long, dim int, vec binary, home int, visits array<int>")
     placed = common.written(placed, "emb-cells")
     held = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.count("*").alias("held"))
