@@ -64,12 +64,19 @@ def test_links_lose_nothing(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = slow_groups([(x, s, x) for x, s in zip(fps, signed)])
-    for block in (2048, 64, 5):
-        got = {r.node: r.root for r in components(simhash.links(df, 3, block)).collect()}
+    for block, chain in ((2048, 2), (64, 2), (5, 2), (2048, 3), (3, 3)):
+        got = {r.node: r.root for r in components(simhash.links(df, 3, block, chain)).collect()}
         for x, s in zip(fps, signed):
             assert got.get(s, s) == want[x]
 
 
+def test_long_chains_on_a_table(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(tuple, simhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(simhash, "LONG_CHAIN", 1)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == want
+
+
 def test_keep_one(spark):
     kept = simhash.keep_one(docs(spark))
     assert kept.columns == docs(spark).columns

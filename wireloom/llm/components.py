@@ -67,7 +67,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     as in Kiveris et al. 2014; the number of rounds grows with the logarithm of
     the longest path.  Minima are combined before the shuffle, and the joins
     are plain equi-joins, so that the adaptive planner can split a node with
-    very many neighbours.  Self-loops and repeated edges are allowed; an empty
+    very many neighbours.  More than ``most_rounds`` rounds (a path of some 2^60
+    nodes) end in an error, never in a partial answer.  Self-loops and repeated edges are allowed; an empty
     table gives an empty one.
     """
     common.shipped(edges.sparkSession)

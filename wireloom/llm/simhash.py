@@ -4,8 +4,11 @@ A fingerprint has four 16-bit segments in a ring.  If two fingerprints differ in
 at most 3 bits, some segment starts a chain in which the first 1, 2, 3 and 4
 segments differ in at most 3/4, 6/4, 9/4 and 12/4 bits, that is 0, 1, 2 and 3.
 So the pair agrees in the whole first segment and in one half at least of the
-second: a key of 24 bits, eight of them a fingerprint.  The chain is tested
-before the whole distance.  Equal fingerprints are one node from the start;
+second: a key of 24 bits, eight of them a fingerprint.  Going one segment
+further, the pair agrees in one third at least of the third segment too: a key
+of 29 or 30 bits, 24 of them a fingerprint, for tables of so many fingerprints
+that 24 bits would bring unlike ones together (candidates grow with the square
+of the fingerprints over 2^bits).  The chain is tested before the whole distance.  Equal fingerprints are one node from the start;
 what a bucket finds leaves it as a spanning forest, never as all its pairs.
 """
 
@@ -25,6 +28,8 @@ from .components import Forest, components
 #: Rows of a bucket that one task compares at a time; larger buckets are dealt
 #: out as pairs of blocks of about this many rows, all of which are compared.
 BLOCK = 2048
+#: Different fingerprints from which keys take in three segments of the chain and not two.
+LONG_CHAIN = 1 << 26
 #: Ids to leave out up to which they go to every executor whole (8 bytes each).
 DROP_BOUND = 1_000_000
 
@@ -69,14 +74,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.spread(rows).mapInArrow(_fingerprints(shingle, seed), "id long, fp long")
 
 
-def _keys(fp):
-    """The eight bucket keys: 3 bits for (segment, half), 16 and 8 bits of value."""
+#: Where a key's number of its (segment, half, third) starts, and how many numbers a segment has, by length of the chain.
+LAYOUT = {2: (24, 2), 3: (30, 6)}
+
+
+def _keys(fp, chain: int = 2):
+    """The bucket keys of a fingerprint: which (segment, half[, third]) it is, and the bits there."""
     seg = [F.shiftrightunsigned(fp, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    out = []
+    shift, out = LAYOUT[chain][0], []
     for i in range(4):
-        nxt = seg[(i + 1) % 4]
-        for half, part in enumerate((F.shiftright(nxt, 8), nxt.bitwiseAND(F.lit(0xFF)))):
-            out.append(F.lit((2 * i + half) << 24).cast("long") + F.shiftleft(seg[i], 8) + part)
+        two, three = seg[(i + 1) % 4], seg[(i + 2) % 4]
+        for half in (F.shiftright(two, 8), two.bitwiseAND(F.lit(0xFF))):
+            front = F.shiftleft(seg[i], 8) + half
+            parts = [front] if chain == 2 else [F.shiftleft(front, 6) + x for x in (F.shiftright(three, 10), F.shiftright(three, 5).bitwiseAND(F.lit(31)), three.bitwiseAND(F.lit(31)))]
+            out += [F.lit(len(out) + n << shift).cast("long") + x for n, x in enumerate(parts)]
     return F.array(*out)
 
 
@@ -114,7 +125,9 @@ def _across(forest: Forest, a: np.ndarray, b: np.ndarray, seg: int, most: int) -
             forest.join(int(x.view(np.int64)), int(y.view(np.int64)))
 
 
-def _compare(most: int):
+def _compare(most: int, chain: int):
+    shift, each = LAYOUT[chain]
+
     def flush(forest: Forest, part: list[np.ndarray]) -> None:
         key, lo, hi, blk, fp = part
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
@@ -125,13 +138,13 @@ def _compare(most: int):
         pos = np.flatnonzero(small)
         step = 1
         while len(pos := pos[pos + step < len(key)]) and len(pos := pos[run[pos] == run[pos + step]]):
-            hit = pos[_linked(u[pos], u[pos + step], ((key[pos] >> 25) & 3).astype(np.uint64), most)]
+            hit = pos[_linked(u[pos], u[pos + step], ((key[pos] >> shift) // each).astype(np.uint64), most)]
             for x, y in zip(fp[hit].tolist(), fp[hit + step].tolist()):
                 forest.join(x, y)
             step += 1
         for r in np.flatnonzero(size > 48):
             at = slice(new[r], new[r] + size[r])
-            seg = int(key[new[r]] >> 25) & 3
+            seg = int(key[new[r]] >> shift) // each
             if lo[new[r]] == hi[new[r]]:
                 _within(forest, u[at], seg, most)
             else:
@@ -160,24 +173,25 @@ def _compare(most: int):
     return run
 
 
-def links(fps: DataFrame, most: int = 3, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, most: int = 3, block: int = BLOCK, chain: int = 2) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints of ``fps(fp)`` within ``most`` bits.
 
     The edges are a spanning forest of the links found in each partition: no
     link between different fingerprints is lost, and none is added.
-    ``most`` is 3 or less: the key layout is made for that.
+    ``most`` is 3 or less: the key layout is made for that.  ``chain`` (2 or 3) is
+    how many segments a key takes in; the links are the same.
     """
     if not 0 <= most <= 3:
         raise ValueError("the four-segment ring serves distances of 0 to 3")
     common.shipped(fps.sparkSession)
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), chain)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "fp")
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(_compare(most), "a long, b long")
+    return dealt.mapInArrow(_compare(most, chain), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -192,7 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = common.written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
     nodes = common.written(base.groupBy("fp").agg(F.min("id").alias("low")), "simhash-fp")
-    roots = common.written(components(links(nodes.select("fp"), most)), "simhash-cc")
+    chain = 3 if nodes.count() >= LONG_CHAIN else 2
+    roots = common.written(components(links(nodes.select("fp"), most, chain=chain)), "simhash-cc")
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = placed.join(lowest, "root").select("fp", "component_id")
