@@ -45,3 +45,21 @@ def test_table(spark, sf):
 def test_without_rules(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")
     assert U.judged(df, rules=()).head()[3:5] == (None, "allow")
+
+
+def test_vocabulary_file_s_lines():
+    import pytest
+
+    strict, soft = U.vocabulary(["# terms", "", "Big Win soft", "bad strict", "big win soft", "either soft", "either strict"])
+    assert strict == ("bad", "either") and soft == ("big win",)
+    for line in ("word", "word medium", " soft"):
+        with pytest.raises(ValueError):
+            U.vocabulary([line])
+
+
+def test_a_vocabulary_of_thousands_of_terms(spark):
+    strict, soft = U.vocabulary([f"term{i} {'strict' if i % 3 else 'soft'}" for i in range(6000)])
+    a = U.automaton(strict, soft)
+    assert U.hits("http://x/term3/term6?term3&term3000#term60001", a) == (0, 3) and U.hits("http://term1.x/term2", a) == (2, 0)
+    df = spark.createDataFrame([(1, "http://x/term3-term6"), (2, "http://x/term3"), (3, "http://x/xterm1")], "page_id long, url string")
+    assert [r.verdict for r in U.judged(df, (), strict, soft).orderBy("page_id").collect()] == ["block", "allow", "allow"]

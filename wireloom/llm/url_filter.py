@@ -8,7 +8,7 @@ fits the host and the path decides before the vocabulary does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -47,6 +47,24 @@ RULES = (
 )
 
 
+def vocabulary(lines: Iterable[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) out of lines of a term and its weight (``strict`` or ``soft``), in the order in which they come.
+
+    Blank lines and lines from ``#`` on are left out, case is ignored in A-Z, a term that comes
+    twice counts once, and as strict if it is that anywhere.  Anything else is an error.
+    """
+    weight: dict[str, str] = {}
+    for line in lines:
+        if not line.strip() or line.startswith("#"):
+            continue
+        term, _, kind = line.strip().rpartition(" ")
+        term = term.strip().translate(_LOWER)
+        if not term or kind not in ("strict", "soft"):
+            raise ValueError(f"a line is a term and strict or soft, not {line!r}")
+        weight[term] = "strict" if kind == "strict" else weight.get(term, kind)
+    return tuple(t for t, k in weight.items() if k == "strict"), tuple(t for t, k in weight.items() if k == "soft")
+
+
 def automaton(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT):
     """The automaton over both lists; a term carries its weight (strict or not)."""
     import ahocorasick
@@ -102,7 +120,9 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, strict: tuple[str,
     of equal length are tried in the order given.  Without a rule the verdict is
     ``block`` on a strict hit or on ``soft_least`` different soft hits, else
     ``allow``.  Null URLs and URLs without ``://`` have an empty host and path;
-    an empty or null URL is allowed.  Repeated rows stay repeated.
+    an empty or null URL is allowed.  URLs are judged whole, whatever their length;
+    null ids stay; repeated rows stay repeated; an empty table gives an empty
+    one; other columns are ignored, whatever their names.
     """
     common.shipped(pages.sparkSession)
     url = F.col("__url")
