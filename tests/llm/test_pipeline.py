@@ -2,10 +2,13 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline as C
-from wireloom.llm import quality, secret_scan
+from wireloom.llm import common, quality, secret_scan
 from wireloom.llm.common import written
 
+from .edge import DOCS, SCHEMA
 from .test_mixing import slow_targets
 from .test_mixing import size as words
 from .test_simhash import slow_fingerprint, slow_groups
@@ -46,3 +49,41 @@ def test_every_stage_against_brute_force(spark, sf):
 def test_run_gives_the_last_stage(spark, sf):
     out = C.run(spark, sf)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and out.count() > 0
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """A folder of the driver's tables with the awkward rows, or with none."""
+
+    def made(rows):
+        spark.createDataFrame(rows, SCHEMA.format(extra="taken")).write.parquet(f"{tmp_path}/documents.parquet")
+        labels = [(1, 1, 0), (7, 0, 0), (8, 1, 0), (6, 0, 1)]
+        spark.createDataFrame(labels if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        return str(tmp_path)
+
+    return made
+
+
+def test_awkward_rows(spark, folder):
+    """Nulls, empty and very long texts, ties, repeated rows and a column named like a result go through all stages."""
+    sf = folder(DOCS)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in C.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf), "t")
+        assert docs.columns == columns, name
+    assert 0 < before and {r.doc_id for r in docs.collect()} <= {d[0] for d in DOCS}
+    out = C.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.decoded_sha256) for r in out if r.doc_id) == sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect() if r.doc_id)
+
+
+def test_empty_tables(spark, folder):
+    assert C.run(spark, folder([])).count() == 0
+
+
+def test_superseded_stages_are_removed(spark, sf, monkeypatch):
+    kept = []
+    monkeypatch.setattr(C, "written", lambda df, tag: (kept.append(written(df, tag)), kept[-1])[1])
+    out = C.run(spark, sf)
+    there = [common._hadoop(spark, d._wireloom_path)[1].exists(common._hadoop(spark, d._wireloom_path)[0]) for d in kept]
+    assert there == [False, False, False, True] and out.count() > 0
