@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,12 +82,20 @@ def ip_order(ip: Column) -> Column:
     return F.concat(F.when(F.length(ip) == 4, F.unhex(F.lit("04"))).otherwise(F.unhex(F.lit("06"))), ip)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once a row.
+
+    A variable of a lambda function is a thing that the optimizer can't put the expression
+    in place of, so a body that reads it many times stays small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv4_bytes(text: Column) -> Column:
     """Four bytes of a dotted quad; null if it isn't one."""
-    part = F.split(text, r"\.")
-    octet = lambda i: F.lpad(F.hex(part[i].cast("int")), 2, "0")
+    octet = lambda p, i: F.lpad(F.hex(F.get(p, F.lit(i)).cast("int")), 2, "0")
     good = text.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
-    return F.when(good, F.unhex(F.concat(*[octet(i) for i in range(4)])))
+    return F.when(good, let(F.split(text, r"\."), lambda p: F.unhex(F.concat(*[octet(p, i) for i in range(4)]))))
 
 
 def serial_less(a: Column, b: Column) -> Column:
@@ -91,6 +103,13 @@ def serial_less(a: Column, b: Column) -> Column:
     return F.pmod(a - b, F.lit(1 << 32)) >= (1 << 31)
 
 
+# Version 4 addresses that belong to no place, as first and last number.
+_NOWHERE = (
+    (0x0A000000, 0x0AFFFFFF), (0xAC100000, 0xAC1FFFFF), (0xC0A80000, 0xC0A8FFFF), (0x7F000000, 0x7FFFFFFF), (0xA9FE0000, 0xA9FEFFFF), (0xFFFFFFFF, 0xFFFFFFFF),
+    (0xC0000200, 0xC00002FF), (0xC6336400, 0xC63364FF), (0xCB007100, 0xCB0071FF), (0x00000000, 0x00000000), (0xE0000000, 0xEFFFFFFF),
+)
+
+
 def is_global(ip: Column) -> Column:
     """Whether an address is worth looking up where it is.
 
@@ -98,11 +117,12 @@ def is_global(ip: Column) -> Column:
     unspecified or multicast.  Version 6: not loopback, unspecified, multicast,
     link-local or unique-local.  A null address is not global.
     """
-    h = F.hex(ip)
-    b0, b1, b2 = u8(ip, 0), u8(ip, 1), u8(ip, 2)
-    no4 = (
-        (b0 == 10) | ((b0 == 172) & b1.between(16, 31)) | ((b0 == 192) & (b1 == 168)) | (b0 == 127) | ((b0 == 169) & (b1 == 254)) | (h == "FFFFFFFF")
-        | ((b0 == 192) & (b1 == 0) & (b2 == 2)) | ((b0 == 198) & (b1 == 51) & (b2 == 100)) | ((b0 == 203) & (b1 == 0) & (b2 == 113)) | (h == "00000000") | b0.between(224, 239)
-    )
-    no6 = h.isin("0" * 31 + "1", "0" * 32) | (b0 == 0xFF) | ((b0 == 0xFE) & (bits(b1, 6, 3) == 2)) | bits(b0, 1, 127).isin(0x7E)
-    return F.coalesce(F.when(F.length(ip) == 4, ~no4).when(F.length(ip) == 16, ~no6), F.lit(False))
+
+    def four(n: Column) -> Column:
+        return ~reduce(or_, [n.between(lo, hi) for lo, hi in _NOWHERE])
+
+    def six(h: Column) -> Column:
+        return ~(h.isin("0" * 31 + "1", "0" * 32) | F.substring(h, 1, 2).isin("FC", "FD", "FF") | F.substring(h, 1, 3).isin("FE8", "FE9", "FEA", "FEB"))
+
+    test = lambda h: F.when(F.length(h) == 8, let(F.conv(h, 16, 10).cast("long"), four)).when(F.length(h) == 32, six(h))
+    return F.coalesce(let(F.hex(ip), test), F.lit(False))

@@ -84,19 +84,35 @@ def learning(events: DataFrame, config: AlertConfig) -> DataFrame:
     return first.crossJoin(F.broadcast(from_)).withColumn("end_ms", F.col("start_ms") + config.learn_ms)
 
 
-def process_ids(events: DataFrame) -> DataFrame:
-    """(exe, process_id): numbers from 1 in order of first appearance.
+#: Event numbers that one task puts in order at a time, as bits.
+RANK_BITS = 16
+
+
+def ranked(first: DataFrame, order: str, name: str) -> DataFrame:
+    """``first`` with ``name``: its rows' places from 1 on by ascending ``order``, a whole number that no two rows share.
 
-    The window is over the distinct programs, not over the events.
+    Rows are put in order within ranges of 2^RANK_BITS numbers, and a range's first
+    place follows from how many rows the ranges before it have: no task sorts more than
+    one range, or the list of the ranges.
     """
+    rows = first.withColumn("_r", F.shiftright(F.col(order).cast("long"), RANK_BITS))
+    sizes = rows.groupBy("_r").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("_r").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy(order)) + F.col("_before")
+    return rows.join(sizes, F.col("_r") == F.col("_s")).withColumn(name, place.cast("long")).drop("_r", "_s", "_before")
+
+
+def process_ids(events: DataFrame) -> DataFrame:
+    """(exe, process_id): numbers from 1 in order of first appearance."""
     first = events.filter("exe is not null").groupBy("exe").agg(F.min("seq").alias("_first"))
-    return first.select("exe", F.row_number().over(Window.orderBy("_first")).cast("long").alias("process_id"))
+    return ranked(first, "_first", "process_id").select("exe", "process_id")
 
 
 def destination_ids(events: DataFrame) -> DataFrame:
     """(dest_ip, dest_id), as :func:`process_ids`."""
     first = events.groupBy("dest_ip").agg(F.min("seq").alias("_first"))
-    return first.select("dest_ip", F.row_number().over(Window.orderBy("_first")).cast("long").alias("dest_id"))
+    return ranked(first, "_first", "dest_id").select("dest_ip", "dest_id")
 
 
 #: The first-seen signals: what is new, and its place in the order of signals.

@@ -10,8 +10,12 @@ from ..functions.text import registrable_domain
 
 
 def top_talkers(packets: DataFrame) -> DataFrame:
-    """(endpoint, packets, bytes): a packet counts for its source and for its destination (A1); most bytes first."""
-    both = packets.select(F.explode(F.array("summary.source", "summary.destination")).alias("endpoint"), "wire_len").filter("endpoint <> ''")
+    """(endpoint, packets, bytes): a packet counts for its source and for its destination (A1); most bytes first.
+
+    ``packets`` have a summary, or just ``source`` and ``destination``.
+    """
+    ends = ("summary.source", "summary.destination") if "summary" in packets.columns else ("source", "destination")
+    both = packets.select(F.explode(F.array(*ends)).alias("endpoint"), "wire_len").filter("endpoint <> ''")
     out = both.groupBy("endpoint").agg(F.count("*").alias("packets"), F.sum("wire_len").alias("bytes"))
     return out.orderBy(F.desc("bytes"), "endpoint")
 

@@ -249,6 +249,23 @@ def compile_filter(tree) -> Column:
     return F.coalesce(_compare(at, kind, tree.op, tree.value), false)
 
 
+def layers(text: str) -> set[str]:
+    """The layers that a filter text reads: what ``decode`` has to make for it."""
+
+    def of(tree) -> set[str]:
+        if isinstance(tree, Present):
+            return set(PROTOCOLS[tree.protocol])
+        if isinstance(tree, Not):
+            return of(tree.of)
+        if isinstance(tree, And | Or):
+            return of(tree.left) | of(tree.right)
+        if tree.field in ("tcp.port", "udp.port"):
+            return {tree.field[:3]}
+        return {place.split(".")[0] for place in FIELDS.get(tree.field, ("", ()))[1]}
+
+    return of(parse(text))
+
+
 def matching(packets: DataFrame, text: str, saved: dict[str, str] | None = None) -> DataFrame:
     """The packets that a filter text lets through; ``:name`` recalls a saved one."""
     if text.strip().startswith(":"):

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ..functions.text import byte_size, dns_type_name, hex_dump, protocol_name,
 from ..operators import alerts, anomaly, correlate, diff, flows, monitor, reassembly, stats, store
 from ..operators.decode import decode, flags_text
 from ..operators.flows import flow_packets
+from ..session import written
 from . import bpf, display_filter, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,7 +145,8 @@ def protocol_names(spark, sf_dir):
 
 def _filter(name: str, text: str, where: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return display_filter.matching(_packets(spark, sf_dir, False), text).select("number")
+        want = tuple(display_filter.layers(text)) or ("eth",)
+        return display_filter.matching(_packets(spark, sf_dir, False, want), text).select("number")
 
     run.__name__ = name
     query(P + f"SELECT number FROM w WHERE {where}")(run)
@@ -185,12 +186,13 @@ _TALK = "SELECT endpoint, count(*) AS packets, CAST(sum(wire_len) AS BIGINT) AS
 
 @query(P + _TALK.format("w"))
 def top_talkers(spark, sf_dir):
-    return stats.top_talkers(_packets(spark, sf_dir))
+    return stats.top_talkers(_packets(spark, sf_dir, False, ("source", "destination")))
 
 
 @query(P + ", x AS (SELECT * FROM w WHERE is_tcp AND rport = 443 AND src <> '10.0.0.1') " + _TALK.format("x"))
 def top_talkers_filtered(spark, sf_dir):
-    return stats.top_talkers(display_filter.matching(_packets(spark, sf_dir), "tcp.port == 443 and not ip.src == 10.0.0.1"))
+    text = "tcp.port == 443 and not ip.src == 10.0.0.1"
+    return stats.top_talkers(display_filter.matching(_packets(spark, sf_dir, False, (*display_filter.layers(text), "source", "destination")), text))
 
 
 @query(P + f"SELECT protocol, count(*) AS packets, round(count(*) * 100.0 / sum(count(*)) OVER (), 1)::DOUBLE AS percent, CAST(floor(count(*) * 100.0 / sum(count(*)) OVER () / 2) AS BIGINT) AS bar FROM (SELECT {_PROTO} AS protocol FROM w) GROUP BY protocol")
@@ -368,7 +370,7 @@ def dns_pairing(spark, sf_dir):
     SELECT ev.number, ev.remote, coalesce(a.name, b.name) AS name FROM ev ASOF LEFT JOIN (SELECT * FROM obs WHERE prio = 2) AS a ON ev.remote = a.ip AND ev.number >= a.number ASOF LEFT JOIN (SELECT * FROM obs WHERE prio = 1) AS b ON ev.remote = b.ip AND ev.number >= b.number"""
 )
 def name_asof(spark, sf_dir):
-    packets = _packets(spark, sf_dir, False)
+    packets = _packets(spark, sf_dir, False, ("ipv4", "ipv6", "tcp", "udp", "dns", "tls_client_hello", "http"))
     # hosts are the 10.x ends: the remote is the other one, whichever way the packet goes
     inner = F.substring("src_ip", 1, 1) == F.unhex(F.lit("0A"))
     events = flow_packets(packets).select("number", F.when(inner, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("ip"))
@@ -423,7 +425,7 @@ def socket_owner(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT event_id AS number, event_type || (user_id % 40) AS data FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id AS number, event_type || (user_id % 50) AS data FROM events WHERE event_id % 2 = 0),
+    """WITH a AS (SELECT event_id AS number, event_type || (user_id % 40) AS data FROM events), b AS (SELECT event_id AS number, event_type || (user_id % 50) AS data FROM events),
     x AS (SELECT 'a' AS side, number, row_number() OVER (PARTITION BY data ORDER BY number) AS rn, (SELECT count(*) FROM b WHERE b.data = a.data) AS other FROM a),
     y AS (SELECT 'b' AS side, number, row_number() OVER (PARTITION BY data ORDER BY number) AS rn, (SELECT count(*) FROM a WHERE a.data = b.data) AS other FROM b)
     SELECT side, number FROM x WHERE rn > other UNION ALL SELECT side, number FROM y WHERE rn > other"""
@@ -435,11 +437,11 @@ def capture_diff(spark, sf_dir):
 def _captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = views.table(spark, sf_dir, "events")
     data = lambda m: F.concat("event_type", (F.col("user_id") % m).cast("string")).cast("binary").alias("data")
-    return rows.filter("event_id % 3 <> 0").select(F.col("event_id").alias("number"), data(40)), rows.filter("event_id % 2 = 0").select(F.col("event_id").alias("number"), data(50))
+    return rows.select(F.col("event_id").alias("number"), data(40)), rows.select(F.col("event_id").alias("number"), data(50))
 
 
 @query(
-    """WITH a AS (SELECT event_type || (user_id % 40) AS data, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1), b AS (SELECT event_type || (user_id % 50) AS data, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+    """WITH a AS (SELECT event_type || (user_id % 40) AS data, count(*) AS n FROM events GROUP BY 1), b AS (SELECT event_type || (user_id % 50) AS data, count(*) AS n FROM events GROUP BY 1)
     SELECT CAST(sum(least(a.n, b.n)) AS BIGINT) AS common FROM a JOIN b USING (data)"""
 )
 def capture_common(spark, sf_dir):
@@ -720,8 +722,8 @@ def monitor_events(spark, sf_dir):
 
 @query()
 def monitor_alerts(spark, sf_dir):
-    # the engine reads its events several times: after a chain this long they are kept, on disk where memory ends
-    events = _monitored(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    # the engine reads its events several times: after a chain this long they are a table
+    events = written(_monitored(spark, sf_dir), "events")
     return alerts.alerts(events, alerts.AlertConfig(learn_ms=3_600_000, volume_interval_ms=3_600_000, volume_floor=200, volume_z=2.0))
 
 

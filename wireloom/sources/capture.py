@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ..session import ship
+from ..session import input_bytes, ship
 
 SCHEMA = "number long, ts timestamp, wire_len long, data binary, linktype int, file string"
 BATCH = 2048
-#: Larger records are damage, not packets.
+#: Bytes of input that go to one written file.
+FILE_BYTES = 128 << 20
+#: Larger records are damage, not packets: a file with one is refused.
 MOST_RECORD = 1 << 26
 
 # Fixed values of the two formats.
@@ -50,7 +52,9 @@ def _pcap(f, order: str, per_micro: int) -> Iterator[tuple[int, int, bytes, int]
     record = struct.Struct(order + "IIII")
     while (raw := _exact(f, 16)) is not None:
         sec, frac, size, wire = record.unpack(raw)
-        if size > MOST_RECORD or (data := _exact(f, size)) is None:
+        if size > MOST_RECORD:
+            raise CaptureError(f"a record claims {size} bytes, which is over {MOST_RECORD}")
+        if (data := _exact(f, size)) is None:
             return
         yield sec * 1_000_000 + frac // per_micro, wire, data, linktype & 0x0FFFFFFF
 
@@ -82,7 +86,9 @@ def _pcapng(f) -> Iterator[tuple[int, int, bytes, int]]:
             if got is None:
                 return
             size = struct.unpack(order + "I", got)[0]
-            if not 12 <= size <= MOST_RECORD or (body := _exact(f, size - 8)) is None:
+            if not 12 <= size <= MOST_RECORD:
+                raise CaptureError(f"a block claims {size} bytes, which isn't from 12 to {MOST_RECORD}")
+            if (body := _exact(f, size - 8)) is None:
                 return
             body, block = body[:-4], struct.unpack(order + "I", kind)[0]
             if block == INTERFACE:
@@ -293,13 +299,17 @@ def read(spark: SparkSession, path: str, capture_filter: str | None = None) -> D
     return captured(rows, capture_filter)
 
 
-def write(packets: DataFrame, folder: str, container: str = "pcap", files: int = 1, linktype: int = 1, snaplen: int = SNAP_LENGTH, mode: str = "overwrite") -> None:
+def write(packets: DataFrame, folder: str, container: str = "pcap", files: int | None = None, linktype: int = 1, snaplen: int = SNAP_LENGTH, mode: str = "overwrite") -> None:
     """Packets by ascending number into ``files`` files, each of a range of numbers (K4-K6).
 
+    Without ``files`` there are as many as the input has splits' worth of bytes, one for a
+    small input; no task writes more than about that.
     A link type of 228 is written as 101, the other raw-IP one.  The default
     link type and snap length are what a live capture is saved with.
     """
     register(packets.sparkSession)
+    if files is None:
+        files = max(1, -(-(input_bytes(packets) or 0) // FILE_BYTES))
     rows = packets.select("number", F.col("ts").cast("timestamp").alias("ts"), "wire_len", "data")
     rows = rows.coalesce(1).sortWithinPartitions("number") if files == 1 else rows.repartitionByRange(files, "number").sortWithinPartitions("number")
     link = 101 if linktype == 228 else linktype

@@ -65,7 +65,7 @@ def lsof(lines: DataFrame) -> DataFrame:
     The state is what the last line of its kind said: running lasts within
     the last process and the last file.
     """
-    tag, rest = F.substring("value", 1, 1), F.substring("value", 2, 1 << 20)
+    tag, rest = F.substring("value", 1, 1), F.expr("substring(value, 2)")
     w = Window.partitionBy("snapshot").orderBy("line_no")
     rows = lines.withColumn("_t", tag).withColumn("_v", rest)
     rows = rows.withColumn("_p", F.sum(F.when(F.col("_t") == "p", 1).otherwise(0)).over(w))
@@ -109,7 +109,7 @@ def codesign(lines: DataFrame) -> DataFrame:
     The last identifier, team and hash count, and the first authority; a team
     that is ``not set`` is none; the word ``adhoc`` anywhere makes the status AdHoc.
     """
-    after = lambda tag: F.when(F.col("value").startswith(tag), F.trim(F.substring("value", len(tag) + 1, 1 << 20)))
+    after = lambda tag: F.when(F.col("value").startswith(tag), F.trim(F.expr(f"substring(value, {len(tag) + 1})")))
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("line_no")))
     team = after("TeamIdentifier=")
     status = F.when(F.bool_or(F.col("value").contains("adhoc")), "AdHoc").when(F.bool_or("success"), "Valid").otherwise("Unsigned")
