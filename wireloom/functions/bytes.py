@@ -62,19 +62,23 @@ def ipv6_text(ip: Column) -> Column:
     """RFC 5952 text of sixteen bytes: the longest run of zero groups (of two or more; the
     first such) becomes ``::``, and a mapped address ends in a dotted quad (X2)."""
     groups = F.concat(*[F.concat(F.lit(":"), F.lower(F.conv(F.hex(cut(ip, 2 * i, 2)), 16, 16))) for i in range(8)])
-    text = F.substring(groups, 2, 100)
-    for n in range(2, 9):
-        run = rf"^((?::[0-9a-f]+)*?)(?::0){{{n}}}((?::[0-9a-f]+)*)$"
-        left = F.regexp_replace(F.regexp_extract(groups, run, 1), "^:", "")
-        right = F.regexp_replace(F.regexp_extract(groups, run, 2), "^:", "")
-        text = F.when(groups.rlike(run), F.concat(left, F.lit("::"), right)).otherwise(text)
+
+    def shown(g: Column) -> Column:
+        text = F.substring(g, 2, 100)
+        for n in range(2, 9):
+            run = rf"^((?::[0-9a-f]+)*?)(?::0){{{n}}}((?::[0-9a-f]+)*)$"
+            left = F.regexp_replace(F.regexp_extract(g, run, 1), "^:", "")
+            right = F.regexp_replace(F.regexp_extract(g, run, 2), "^:", "")
+            text = F.when(g.rlike(run), F.concat(left, F.lit("::"), right)).otherwise(text)
+        return text
+
     mapped = F.concat(F.lit("::ffff:"), ipv4_text(F.substring(ip, 13, 4)))
-    return F.when(F.hex(F.substring(ip, 1, 12)) == "00000000000000000000FFFF", mapped).otherwise(text)
+    return F.when(F.hex(F.substring(ip, 1, 12)) == "00000000000000000000FFFF", mapped).otherwise(let(groups, shown))
 
 
 def ip_text(ip: Column) -> Column:
     """Text of a 4- or 16-byte address; null for any other length."""
-    return F.when(F.length(ip) == 4, ipv4_text(ip)).when(F.length(ip) == 16, ipv6_text(ip))
+    return F.when(F.length(ip) == 4, let(ip, ipv4_text)).when(F.length(ip) == 16, let(ip, ipv6_text))
 
 
 def ip_order(ip: Column) -> Column:

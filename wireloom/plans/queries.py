@@ -727,11 +727,18 @@ def monitor_alerts(spark, sf_dir):
     return alerts.alerts(events, alerts.AlertConfig(learn_ms=3_600_000, volume_interval_ms=3_600_000, volume_floor=200, volume_z=2.0))
 
 
+def _load() -> None:
+    """The other modules that register queries here; they take their helpers from this one."""
+    from . import byte_queries, host_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
     """Name to function of all registered queries."""
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL of those that SQL can express."""
+    _load()
     return dict(SQL)

@@ -283,8 +283,9 @@ class CaptureSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``format("capture")`` known to a session."""
+    """Makes ``format("capture")`` known to a session, which has to push filters down to Python sources for it."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CaptureSource)
 
 

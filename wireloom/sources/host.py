@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.bytes import ipv4_bytes
+from ..functions.bytes import ipv4_bytes, let
 from ..operators.correlate import ipv6_bytes
 
 # Protocol numbers by the tools' words.
@@ -26,14 +26,17 @@ def endpoint(text: Column, zones: bool = False) -> tuple[Column, Column]:
 
     ``zones`` drops a zone id from a version 6 address.
     """
+
+    def six(inner: Column) -> Column:
+        return F.when((inner != "") & inner.rlike(r"^[0-9A-Fa-f:.]+$") & inner.contains(":"), ipv6_bytes(inner))
+
     v6 = F.regexp_extract(text, r"^\[(.+?)\]:([0-9]+)$", 1)
-    inner = F.regexp_replace(v6, "%.*$", "") if zones else v6
     v4 = F.regexp_extract(text, r"^([0-9.]+):([0-9]+)$", 1)
-    good6 = (inner != "") & inner.rlike(r"^[0-9A-Fa-f:.]+$") & inner.contains(":")
-    ip = F.when(good6, ipv6_bytes(inner)).otherwise(ipv4_bytes(v4))
+    ip = F.coalesce(let(F.regexp_replace(v6, "%.*$", "") if zones else v6, six), let(v4, ipv4_bytes))
     port = F.regexp_extract(text, r":([0-9]{1,5})$", 1).try_cast("int")
-    ok = ip.isNotNull() & (port <= 65535)
-    return F.when(ok, ip), F.when(ok, port)
+    # both ends of the address are worked out once, and are there only together
+    both = let(F.struct(ip.alias("ip"), port.alias("port")), lambda x: F.when(x["ip"].isNotNull() & (x["port"] <= 65535), x))
+    return both["ip"], both["port"]
 
 
 def proc_net(lines: DataFrame) -> DataFrame:
