@@ -1,107 +1,23 @@
-"""Shared folders, lineage cuts and code shipping for the operators here."""
+"""What the operators here share: the library's folders, lineage cuts and code shipping, and slices of batches."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import parts_for, spread
+from ..session import dropped, new_path, parts_for, shared_dir, spread, written
+from ..session import hadoop as _hadoop
 from ..session import ship as shipped
 
-__all__ = ["WORD_PATTERN", "dropped", "file_system", "new_path", "parts_for", "shared_dir", "shipped", "sliced", "spread", "table", "written"]
+__all__ = ["WORD_PATTERN", "_hadoop", "dropped", "file_system", "new_path", "parts_for", "shared_dir", "shipped", "sliced", "spread", "table", "written"]
 
 #: Words are runs of anything but these six ASCII blanks; ``bytes.split()``
 #: splits on exactly the same set.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-_local: list[str] = []
-
-
-def _local_dir() -> str:
-    """This process's temporary folder, removed when the process ends."""
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="wireloom-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return "file://" + _local[0]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` of the session decides.  Only where it is unset
-    is a folder chosen here: a temporary one in single-process local mode, else a
-    folder in the warehouse, which then must not be a local path of each machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            return _local_dir()
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wireloom_shared"
-        if _hadoop(spark, base)[1].getScheme() == "file":
-            raise ValueError(f"set spark.checkpoint.dir: the warehouse {base} is a local folder, which the machines of a cluster don't share")
-    return base.rstrip("/")
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """(path, file system) as Hadoop has them."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-_mine: list[tuple[SparkSession, str]] = []
-
-
-def _leave() -> None:
-    """Removes this process's intermediate tables at its end, if the JVM is still there."""
-    for spark, path in _mine:
-        try:
-            p, fs = _hadoop(spark, path)
-            fs.delete(p, True)
-        except Exception:  # noqa: BLE001  the session has ended before: its folder has the application's name
-            return
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, under the application's name; it is removed when this process ends."""
-    if not _mine:
-        atexit.register(_leave)
-    path = f"{shared_dir(spark)}/wireloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-    _mine.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
-
-    This cuts the lineage: a lost executor costs one task of the reader, never
-    the work of the stages before.  The rows are whole files of a commit, so
-    a retried task can't leave half a table.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._wireloom_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Removes a table that :func:`written` made and that nothing reads any more."""
-    path = getattr(df, "_wireloom_path", None)
-    if path:
-        p, fs = _hadoop(df.sparkSession, path)
-        fs.delete(p, True)
-        _mine[:] = [x for x in _mine if x[1] != path]
-
-
 #: Bytes of texts that a worker holds as objects at a time, unless one row alone has more.
 HELD = 32 << 20
 
