@@ -1,6 +1,8 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -47,3 +49,9 @@ def test_query_without_sql_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(SQL) <= set(entry.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    """Modules that register queries make no Column as they are imported."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, check=True, timeout=120)

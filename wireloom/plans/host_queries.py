@@ -27,7 +27,9 @@ def _str(c: Column) -> Column:
     return c.cast("string")
 
 
-K = F.col("k")
+def _k() -> Column:
+    return F.col("k")
+
 
 # --- what a host's tools print -----------------------------------------------
 
@@ -36,7 +38,7 @@ _C = "WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) "
 
 
 def _quad() -> Column:
-    return F.concat(F.lit("10.0."), _str(F.floor(K / 256) % 256), F.lit("."), _str(K % 256))
+    return F.concat(F.lit("10.0."), _str(F.floor(_k() / 256) % 256), F.lit("."), _str(_k() % 256))
 
 
 @query(_C + f"SELECT k AS inode, CASE WHEN k % 2 = 0 THEN 17 ELSE 6 END AS protocol, {_HOST} AS addr, 1000 + k % 60000 AS port FROM c WHERE k % 10 <> 0", longs="protocol")
@@ -44,17 +46,17 @@ def socket_lines(spark, sf_dir):
     """Lines as the kernel's socket tables have them: addresses turned round, the first line a header, inode 0 a socket of nobody."""
     r = _customers(spark, sf_dir)
     byte = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
-    local = F.concat(byte(K % 256), byte(F.floor(K / 256) % 256), F.lit("000A:"), F.lpad(F.hex(1000 + K % 60000), 4, "0"))
-    value = F.concat(F.lit("  "), _str(K), F.lit(": "), local, F.lit(" 00000000:0000 0A 00000000:00000000 00:00000000 00000000  1000        0 "), _str(F.when(K % 10 == 0, 0).otherwise(K)), F.lit(" 1 0000 100 0 0 10 0"))
-    lines = r.select(F.when(K % 2 == 0, "udp").otherwise("tcp").alias("file"), K.alias("line_no"), value.alias("value"))
+    local = F.concat(byte(_k() % 256), byte(F.floor(_k() / 256) % 256), F.lit("000A:"), F.lpad(F.hex(1000 + _k() % 60000), 4, "0"))
+    value = F.concat(F.lit("  "), _str(_k()), F.lit(": "), local, F.lit(" 00000000:0000 0A 00000000:00000000 00:00000000 00000000  1000        0 "), _str(F.when(_k() % 10 == 0, 0).otherwise(_k())), F.lit(" 1 0000 100 0 0 10 0"))
+    lines = r.select(F.when(_k() % 2 == 0, "udp").otherwise("tcp").alias("file"), _k().alias("line_no"), value.alias("value"))
     lines = lines.unionByName(lines.limit(1).select("file", F.lit(0).cast("long").alias("line_no"), F.lit("  sl  local_address rem_address st").alias("value")))
     return host.proc_net(lines).select("inode", "protocol", ip_text(F.col("addr")).alias("addr"), "port")
 
 
 @query(_C + f"SELECT k AS pid, CASE WHEN k % 3 = 0 THEN 17 ELSE 6 END AS protocol, CASE WHEN k % 4 = 0 THEN 'fe80::' || printf('%x', k % 65535 + 1) ELSE {_HOST} END AS addr, 1000 + k % 60000 AS port FROM c", longs="protocol")
 def netstat_lines(spark, sf_dir):
-    local = F.when(K % 4 == 0, F.concat(F.lit("[fe80::"), F.lower(F.hex(K % 65535 + 1)), F.lit("%12]:"))).otherwise(F.concat(_quad(), F.lit(":")))
-    value = F.concat(F.when(K % 3 == 0, "  UDP    ").otherwise("  TCP    "), local, _str(1000 + K % 60000), F.lit("   *:*   "), F.when(K % 3 == 0, "").otherwise("LISTENING   "), _str(K))
+    local = F.when(_k() % 4 == 0, F.concat(F.lit("[fe80::"), F.lower(F.hex(_k() % 65535 + 1)), F.lit("%12]:"))).otherwise(F.concat(_quad(), F.lit(":")))
+    value = F.concat(F.when(_k() % 3 == 0, "  UDP    ").otherwise("  TCP    "), local, _str(1000 + _k() % 60000), F.lit("   *:*   "), F.when(_k() % 3 == 0, "").otherwise("LISTENING   "), _str(_k()))
     lines = _customers(spark, sf_dir).select(value.alias("value"))
     noise = lines.limit(1).select(F.lit("Active Connections").alias("value"))
     return host.netstat(lines.union(noise)).select("pid", "protocol", ip_text(F.col("addr")).alias("addr"), "port")
@@ -62,17 +64,17 @@ def netstat_lines(spark, sf_dir):
 
 @query(_C + "SELECT k AS pid, 'app' || (k % 7) || '.exe' AS name FROM c")
 def task_lines(spark, sf_dir):
-    value = F.concat(F.lit('"app'), _str(K % 7), F.lit('.exe","'), _str(K), F.lit('","Console","1","10,000 K"'))
+    value = F.concat(F.lit('"app'), _str(_k() % 7), F.lit('.exe","'), _str(_k()), F.lit('","Console","1","10,000 _k()"'))
     return host.tasklist(_customers(spark, sf_dir).select(value.alias("value"))).select("pid", "name")
 
 
 @query(_C + f"SELECT k AS pid, 'cmd' || (k % 9) AS name, 6 AS protocol, {_HOST} AS addr, 1000 + k % 60000 AS port FROM c WHERE k % 5 <> 0 UNION ALL SELECT k, 'cmd' || (k % 9), 17, '::1', 53 FROM c", longs="protocol port")
 def open_file_lines(spark, sf_dir):
     """Tagged lines: a process, its command, a TCP and a UDP socket each; one in five has no address."""
-    tcp = F.when(K % 5 == 0, "n*:*").otherwise(F.concat(F.lit("n"), _quad(), F.lit(":"), _str(1000 + K % 60000), F.lit("->1.1.1.1:443")))
-    parts = F.array(F.concat(F.lit("p"), _str(K)), F.concat(F.lit("ccmd"), _str(K % 9)), F.lit("f3"), F.lit("PTCP"), tcp, F.lit("f4"), F.lit("PUDP"), F.lit("n[::1]:53"), F.lit("f5"), F.lit("n10.9.9.9:1"))
-    rows = _customers(spark, sf_dir).select(K, F.posexplode(parts).alias("i", "value"))
-    lines = rows.select((K % 64).alias("snapshot"), (K * 16 + F.col("i")).alias("line_no"), "value")
+    tcp = F.when(_k() % 5 == 0, "n*:*").otherwise(F.concat(F.lit("n"), _quad(), F.lit(":"), _str(1000 + _k() % 60000), F.lit("->1.1.1.1:443")))
+    parts = F.array(F.concat(F.lit("p"), _str(_k())), F.concat(F.lit("ccmd"), _str(_k() % 9)), F.lit("f3"), F.lit("PTCP"), tcp, F.lit("f4"), F.lit("PUDP"), F.lit("n[::1]:53"), F.lit("f5"), F.lit("n10.9.9.9:1"))
+    rows = _customers(spark, sf_dir).select(_k(), F.posexplode(parts).alias("i", "value"))
+    lines = rows.select((_k() % 64).alias("snapshot"), (_k() * 16 + F.col("i")).alias("line_no"), "value")
     return host.lsof(lines).select("pid", "name", "protocol", ip_text(F.col("addr")).alias("addr"), "port")
 
 
@@ -83,10 +85,10 @@ def open_file_lines(spark, sf_dir):
 )
 def signature_lines(spark, sf_dir):
     said = F.array(
-        F.concat(F.lit("Identifier=com.app"), _str(K % 11)), F.when(K % 6 == 0, "Signature=adhoc").otherwise("Format=app"), F.concat(F.lit("Authority=First "), _str(K % 4)), F.lit("Authority=Root"),
-        F.concat(F.lit("CDHash=hash"), _str(K)), F.when(K % 3 == 0, "TeamIdentifier=not set").otherwise(F.concat(F.lit("TeamIdentifier=TEAM"), _str(K % 5))),
+        F.concat(F.lit("Identifier=com.app"), _str(_k() % 11)), F.when(_k() % 6 == 0, "Signature=adhoc").otherwise("Format=app"), F.concat(F.lit("Authority=First "), _str(_k() % 4)), F.lit("Authority=Root"),
+        F.concat(F.lit("CDHash=hash"), _str(_k())), F.when(_k() % 3 == 0, "TeamIdentifier=not set").otherwise(F.concat(F.lit("TeamIdentifier=TEAM"), _str(_k() % 5))),
     )
-    rows = _customers(spark, sf_dir).select(F.concat(F.lit("/app/"), _str(K)).alias("path"), (K % 2 == 0).alias("success"), F.posexplode(said).alias("line_no", "value"))
+    rows = _customers(spark, sf_dir).select(F.concat(F.lit("/app/"), _str(_k())).alias("path"), (_k() % 2 == 0).alias("success"), F.posexplode(said).alias("line_no", "value"))
     return host.codesign(rows)
 
 
@@ -95,10 +97,10 @@ def signature_lines(spark, sf_dir):
     + f"""SELECT k AS id, CASE k % 4 WHEN 0 THEN {_HOST} WHEN 1 THEN '2001:db8::' || printf('%x', k % 65535 + 1) END AS addr, CASE WHEN k % 4 < 2 THEN 1 + k % 65535 END AS port FROM c"""
 )
 def endpoints(spark, sf_dir):
-    port = _str(1 + K % 65535)
-    shown = F.when(K % 4 == 0, F.concat(_quad(), F.lit(":"), port)).when(K % 4 == 1, F.concat(F.lit("[2001:db8::"), F.lower(F.hex(K % 65535 + 1)), F.lit("]:"), port)).when(K % 4 == 2, "*:*").otherwise(F.concat(_quad(), F.lit(":99999")))
+    port = _str(1 + _k() % 65535)
+    shown = F.when(_k() % 4 == 0, F.concat(_quad(), F.lit(":"), port)).when(_k() % 4 == 1, F.concat(F.lit("[2001:db8::"), F.lower(F.hex(_k() % 65535 + 1)), F.lit("]:"), port)).when(_k() % 4 == 2, "*:*").otherwise(F.concat(_quad(), F.lit(":99999")))
     ip, at = host.endpoint(F.col("shown"))
-    return _customers(spark, sf_dir).select(K.alias("id"), shown.alias("shown")).select("id", ip_text(ip).alias("addr"), at.cast("long").alias("port"))
+    return _customers(spark, sf_dir).select(_k().alias("id"), shown.alias("shown")).select("id", ip_text(ip).alias("addr"), at.cast("long").alias("port"))
 
 
 @query(
