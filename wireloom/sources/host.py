@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import ipv4_bytes, let
 from ..operators.correlate import ipv6_bytes
+from . import mmdb
 
 # Protocol numbers by the tools' words.
 PROTOCOLS = {"TCP": 6, "UDP": 17}
@@ -124,12 +125,15 @@ def codesign(lines: DataFrame) -> DataFrame:
 
 
 def ranges(spark: SparkSession, path: str | None, columns: str) -> DataFrame | None:
-    """Address ranges from a Parquet table or a CSV file of (start, end, ...) texts; None if it isn't there (K9).
+    """Address ranges from a Parquet table, a CSV file of (start, end, ...) texts or a MaxMind DB file; None if it isn't there (K9).
 
-    ``columns`` is the schema of what follows the two ends, e.g. ``country string``.
+    ``columns`` is the schema of what follows the two ends, e.g. ``country string``.  A
+    ``.mmdb`` file that is broken counts as not there.
     """
     if path is None:
         return None
+    if path.endswith(".mmdb"):
+        return mmdb.networks(spark, path, columns)
     try:
         rows = spark.read.schema(f"start_ip string, end_ip string, {columns}").csv(path) if path.endswith(".csv") else spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001
