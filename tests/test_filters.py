@@ -78,3 +78,32 @@ def test_capture_filter(spark, packets, text, want):
 def test_capture_filter_refuses(text):
     with pytest.raises(bpf.CaptureFilterError):
         bpf.compile_bpf(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("portrange 400-500", [1]), ("tcp dst portrange 443-80", [1, 3]), ("udp portrange 80-443", []), ("src portrange 80-80", [3]), ("arp host 192.168.1.1", [0]), ("ip host 192.168.1.1", [1, 2, 3, 5]), ("ip src host 192.168.1.1", []),
+        ("less 100000", [0, 1, 2, 3, 4, 5]), ("greater 100000", []), ("not greater 0 or tcp port 443", [1]), ("ip6 host ::1:2:3", []),
+    ],
+)
+def test_capture_filter_ranges_lengths_and_hosts(spark, packets, text, want):
+    raw = packets.select("number", "ts", "wire_len", "data", "linktype")
+    assert sorted(r.number for r in bpf.captured(raw, text).collect()) == want
+
+
+def test_capture_filter_by_length_and_version_6_address(spark, packets):
+    raw = packets.select("number", "ts", "wire_len", "data", "linktype")
+    size = {r.number: r.wire_len for r in raw.collect()}
+    for n in set(size.values()):
+        assert {r.number for r in bpf.captured(raw, f"less {n}").collect()} == {k for k, v in size.items() if v <= n}
+        assert {r.number for r in bpf.captured(raw, f"greater {n}").collect()} == {k for k, v in size.items() if v >= n}
+    six = packets.filter("number = 4").selectExpr("ipv6.src_ip s", "ipv6.dst_ip d").first()
+    for text in (f"host {ipaddress.ip_address(bytes(six.s))}", f"ip6 dst host {ipaddress.ip_address(bytes(six.d))}"):
+        assert [r.number for r in bpf.captured(raw, text).collect()] == [4]
+
+
+@pytest.mark.parametrize("text", ["port 1-2", "portrange 5", "portrange a-b", "less x", "greater", "ip6 host 10.0.0.1", "ip host ::1", "tcp host 10.0.0.1", "icmp portrange 1-2", "net 10", "less -5"])
+def test_capture_filter_refuses_what_does_not_fit(text):
+    with pytest.raises(bpf.CaptureFilterError):
+        bpf.compile_bpf(text)

@@ -1,7 +1,8 @@
 """A subset of capture-filter syntax as a Column over undecoded frames.
 
-Served: ``tcp``, ``udp``, ``icmp``, ``icmp6``, ``arp``, ``ip``, ``ip6``; ``[src|dst] host A.B.C.D``;
-``[tcp|udp] [src|dst] port N``; ``and``/``&&``, ``or``/``||``, ``not``/``!`` and parentheses.
+Served: ``tcp``, ``udp``, ``icmp``, ``icmp6``, ``arp``, ``ip``, ``ip6``; ``[ip|arp|ip6] [src|dst] host ADDRESS``;
+``[tcp|udp] [src|dst] port N`` and ``portrange N-M``; ``less N``, ``greater N`` (lengths on the wire, N itself
+included); ``and``/``&&``, ``or``/``||``, ``not``/``!`` and parentheses.
 ``not`` binds tightest; ``and`` and ``or`` bind alike, from the left.
 Anything else is refused, never ignored.
 """
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..operators.decode import headers
 
-_TOKENS = re.compile(r"\s*(\(|\)|&&|\|\||!|[A-Za-z0-9_.:]+)")
+_TOKENS = re.compile(r"\s*(\(|\)|&&|\|\||!|[A-Za-z0-9_.:-]+)")
 _LAYER = {"tcp": "tcp", "udp": "udp", "icmp": "icmp", "icmp6": "icmpv6", "arp": "arp", "ip": "ipv4", "ip6": "ipv6"}
+# Where a layer holds the addresses of its two ends.
+_ENDS = {"ip": ("ipv4.src_ip", "ipv4.dst_ip"), "arp": ("arp.sender_ip", "arp.target_ip"), "ip6": ("ipv6.src_ip", "ipv6.dst_ip")}
 
 
 class CaptureFilterError(ValueError):
@@ -75,29 +78,44 @@ class _Parser:
 
     def primitive(self) -> Column:
         word = self.next()
-        layer = _LAYER.get(word)
-        if layer and self.peek() not in ("src", "dst", "port", "host"):
-            return F.col(layer).isNotNull()
-        layers = ["tcp", "udp"]
-        if layer:
-            if layer not in layers:
-                raise CaptureFilterError(f"not served: {word} {self.peek()}")
-            layers, word = [layer], self.next()
-        ends = ["src", "dst"]
-        if word in ends:
-            ends, word = [word], self.next()
+        if word in ("less", "greater"):
+            size = self.next()
+            if not size.isdigit():
+                raise CaptureFilterError(f"not a length: {size!r}")
+            return F.coalesce(F.col("wire_len") <= int(size) if word == "less" else F.col("wire_len") >= int(size), F.lit(False))
+        layer = word if word in _LAYER else None
+        if layer and self.peek() not in ("src", "dst", "port", "portrange", "host"):
+            return F.col(_LAYER[layer]).isNotNull()
+        word = self.next() if layer else word
+        ends = [0, 1]
+        if word in ("src", "dst"):
+            ends, word = [("src", "dst").index(word)], self.next()
         value = self.next()
-        if word == "port" and value.isdigit():
-            return F.coalesce(_any([F.coalesce(F.col(f"{x}.{e}_port") == int(value), F.lit(False)) for x in layers for e in ends]), F.lit(False))
-        if word == "host" and len(layers) == 2:
-            try:
-                ip = ipaddress.IPv4Address(value)
-            except ValueError as e:
-                raise CaptureFilterError(f"not an address: {value!r}") from e
-            lit = F.lit(bytearray(ip.packed))
-            names = {"src": ("ipv4.src_ip", "arp.sender_ip"), "dst": ("ipv4.dst_ip", "arp.target_ip")}
-            return _any([F.coalesce(F.col(c) == lit, F.lit(False)) for e in ends for c in names[e]])
-        raise CaptureFilterError(f"not served: {word} {value}".rstrip())
+        if word in ("port", "portrange") and layer in (None, "tcp", "udp"):
+            return self.ports(word, value, [layer] if layer else ["tcp", "udp"], ends)
+        if word == "host" and (layer is None or layer in _ENDS):
+            return self.host(value, layer, ends)
+        raise CaptureFilterError(f"not served: {layer or ''} {word} {value}".strip())
+
+    def ports(self, word: str, value: str, layers: list[str], ends: list[int]) -> Column:
+        first, dash, last = value.partition("-")
+        last = last if dash else first
+        if bool(dash) != (word == "portrange") or not (first.isdigit() and last.isdigit()):
+            raise CaptureFilterError(f"not served: {word} {value}")
+        low, high = sorted((int(first), int(last)))
+        names = [f"{x}.{('src_port', 'dst_port')[e]}" for x in layers for e in ends]
+        return _any([F.coalesce(F.col(c).between(low, high), F.lit(False)) for c in names])
+
+    def host(self, value: str, layer: str | None, ends: list[int]) -> Column:
+        try:
+            ip = ipaddress.ip_address(value)
+        except ValueError as e:
+            raise CaptureFilterError(f"not an address: {value!r}") from e
+        can = ("ip", "arp") if ip.version == 4 else ("ip6",)
+        if layer not in (None, *can):
+            raise CaptureFilterError(f"{layer} has no address {value}")
+        lit = F.lit(bytearray(ip.packed))
+        return _any([F.coalesce(F.col(_ENDS[x][e]) == lit, F.lit(False)) for x in can if layer in (None, x) for e in ends])
 
 
 def compile_bpf(text: str) -> Column:
