@@ -106,7 +106,7 @@ def blob_of(text_col: str = "text"):
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
 
 
-#: Rows of a skip list, or rows and spans of a table of findings, up to which it goes to every executor whole (some 100 bytes each).
+#: Rows of a list of what to scan or to skip, or rows and spans of a table of findings, up to which it goes to every executor whole (some 100 bytes each).
 SKIP_BOUND = 200_000
 
 
@@ -119,10 +119,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     last scan (None at first) and write what comes back.
 
     A blob is read from the path with the smallest id among those that hold it.
-    Which rows need no scan is a small table (repeats and what the ledger has):
-    up to SKIP_BOUND rows go to every executor, above that it is an ordinary
-    join.  Null texts are the empty blob; null ids are paths like others;
-    repeated rows stay repeated; an empty table gives empty ones.
+    Which rows are scanned (new blobs) and which aren't (repeats and what the
+    ledger has) are two lists without texts; if the shorter one has up to
+    SKIP_BOUND rows it goes to every executor and no text is shuffled, be it a
+    small change to a large corpus or a corpus of few repeats.  Beyond that it is
+    an ordinary join, which shuffles the texts once.  Null texts are the empty
+    blob; null ids are paths like others; repeated rows stay repeated; an empty
+    table gives empty ones.
     """
     spark = docs.sparkSession
     common.shipped(spark)
@@ -130,21 +133,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     rows = rows.withColumn("__blob", blob_of("__text"))
     paths = common.written(rows.select("__id", "__blob"), "paths")
     first = paths.groupBy("__blob").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    blobs = common.written(first, "blobs")
-    seen = None
+    known = F.lit(False)
     if ledger is not None:
         seen = ledger.filter(F.col("version") == version).select(F.col("blob").alias("__seen")).distinct()
-    # rows to pass over: every holder of a blob but the first, and all holders of a seen one
-    again = blobs.filter("__n > 1").select("__blob", "__first")
-    skip = paths.join(again, "__blob").filter(~F.col("__id").eqNullSafe(F.col("__first"))).select(F.col("__id").alias("__sid"), F.col("__blob").alias("__sblob"))
-    if seen is not None:
-        skip = skip.union(paths.join(seen, paths["__blob"] == seen["__seen"], "left_semi").select("__id", "__blob"))
-    skip = common.written(skip, "skip")
-    small = skip.count() <= SKIP_BOUND
+        first, known = first.join(seen, F.col("__blob") == F.col("__seen"), "left"), F.col("__seen").isNotNull()
+    blobs = common.written(first.select("__blob", "__first", "__n", known.alias("__known")), "blobs")
+    picks, held = blobs.agg(F.count_if(~F.col("__known")), F.coalesce(F.sum("__n"), F.lit(0))).head()
+    # one holder of every new blob, or all rows but those: every holder of a blob but the first, and all holders of a known one
+    pick = blobs.filter(~F.col("__known")).select(F.col("__first").alias("__sid"), F.col("__blob").alias("__sblob"))
+    how, chosen = "left_semi", pick
+    if held - picks < picks:
+        again = blobs.filter(F.col("__known") | (F.col("__n") > 1)).select("__blob", "__first", "__known")
+        skip = paths.join(again, "__blob").filter(F.col("__known") | ~F.col("__id").eqNullSafe(F.col("__first")))
+        how, chosen = "left_anti", skip.select(F.col("__id").alias("__sid"), F.col("__blob").alias("__sblob"))
     todo = rows.join(
-        F.broadcast(skip) if small else skip,
+        F.broadcast(chosen) if min(picks, held - picks) <= SKIP_BOUND else chosen,
         F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__blob") == F.col("__sblob")),
-        "left_anti",
+        how,
     )
     new = todo.select(F.col("__blob").alias("blob"), "__text")
     new = common.spread(new).mapInArrow(_scan, f"blob string, spans {SPANS}")
