@@ -13,9 +13,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bytes import u8
 from . import common
 
 # The three base rules and the least length of what they find.
@@ -108,6 +109,39 @@ def blob_of(text_col: str = "text"):
 
 #: Rows of a list of what to scan or to skip, or rows and spans of a table of findings, up to which it goes to every executor whole (some 100 bytes each).
 SKIP_BOUND = 200_000
+#: Bits a row to scan has in the bitmap that thins out the rest, and 4 KiB buckets of bits at most (32 MiB, sent to every executor).
+BITS, MOST_BUCKETS = 64, 8192
+_BUCKET = 1 << 15
+
+
+def _of_long_lists(rows: DataFrame, paths: DataFrame, pick: DataFrame, picks: int, same: Column) -> DataFrame:
+    """The ``rows`` that ``pick`` lists, where neither that list nor the other rows' is short.
+
+    A bitmap of the listed rows' hashes passes them all and few others.  Which
+    others is found out of ``paths``, without texts: up to SKIP_BOUND of them
+    go to every executor, and again no text is shuffled.  Beyond that the texts
+    that pass are shuffled, and where the bitmap would be more than half full all are.
+    """
+    buckets = min(MOST_BUCKETS, 1 << max(0, (picks * BITS // _BUCKET).bit_length()))
+    if picks >= buckets * _BUCKET // 2:
+        return rows.join(pick, same, "left_semi")
+    at = lambda i, b: F.pmod(F.xxhash64(i, b), F.lit(buckets * _BUCKET))
+    bucket, bit = lambda h: F.shiftright(h, 15), lambda h: h.bitwiseAND(F.lit(_BUCKET - 1))
+    # dealt out before bits are set, so that a bucket is built once and not in every task
+    marks = pick.select(at("__sid", "__sblob").alias("__at")).select(bucket(F.col("__at")).alias("__bucket"), bit(F.col("__at")).alias("__bit")).repartition("__bucket")
+    bitmap = common.written(marks.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits")), "bitmap")
+
+    def passed(df: DataFrame) -> DataFrame:
+        h = at("__id", "__blob")
+        byte = u8(F.col("__bits"), F.shiftright(bit(h), 3).cast("int"))
+        isset = F.call_function("shiftright", byte, bit(h).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return df.join(F.broadcast(bitmap), (bucket(h) == F.col("__bucket")) & isset, "left_semi")
+
+    others = passed(paths).join(pick, same, "left_anti").select(F.col("__id").alias("__sid"), F.col("__blob").alias("__sblob"))
+    others = common.written(others, "passed")
+    if others.count() <= SKIP_BOUND:
+        return passed(rows).join(F.broadcast(others), same, "left_anti")
+    return passed(rows).join(pick, same, "left_semi")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, version: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -122,9 +156,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     Which rows are scanned (new blobs) and which aren't (repeats and what the
     ledger has) are two lists without texts; if the shorter one has up to
     SKIP_BOUND rows it goes to every executor and no text is shuffled, be it a
-    small change to a large corpus or a corpus of few repeats.  Beyond that it is
-    an ordinary join, which shuffles the texts once.  Null texts are the empty
-    blob; null ids are paths like others; repeated rows stay repeated; an empty
+    small change to a large corpus or a corpus of few repeats.  Beyond that see
+    :func:`_of_long_lists`.  Null texts are the empty blob; null ids are paths like others; repeated rows stay repeated; an empty
     table gives empty ones.
     """
     spark = docs.sparkSession
@@ -146,11 +179,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
         again = blobs.filter(F.col("__known") | (F.col("__n") > 1)).select("__blob", "__first", "__known")
         skip = paths.join(again, "__blob").filter(F.col("__known") | ~F.col("__id").eqNullSafe(F.col("__first")))
         how, chosen = "left_anti", skip.select(F.col("__id").alias("__sid"), F.col("__blob").alias("__sblob"))
-    todo = rows.join(
-        F.broadcast(chosen) if min(picks, held - picks) <= SKIP_BOUND else chosen,
-        F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__blob") == F.col("__sblob")),
-        how,
-    )
+    same = F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__blob") == F.col("__sblob"))
+    if min(picks, held - picks) <= SKIP_BOUND:
+        todo = rows.join(F.broadcast(chosen), same, how)
+    else:
+        todo = _of_long_lists(rows, paths, pick, picks, same)
     new = todo.select(F.col("__blob").alias("blob"), "__text")
     new = common.spread(new).mapInArrow(_scan, f"blob string, spans {SPANS}")
     new = common.written(new.dropDuplicates(["blob"]).select("blob", F.lit(version).alias("version"), "spans"), "ledger")
