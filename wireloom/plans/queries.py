@@ -704,7 +704,7 @@ def _monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames through the whole chain, with sockets of the 10.x hosts and the nations as places."""
     packets = _packets(spark, sf_dir, False)
     raw = views.numbers(views.table(spark, sf_dir, "events"))
-    host = F.unhex(F.concat(F.lit("0A00"), F.lpad(F.hex(F.floor(F.col("u") / 256)), 2, "0"), F.lpad(F.hex(F.col("u") % 256), 2, "0")))
+    host = F.unhex(views.host_hex(F.col("u")))
     port = (50000 + F.col("u") % 15000).cast("int")
     seen = raw.groupBy("u").agg(F.min("ts").alias("ts"))
     sockets = seen.select("ts", F.lit(6).alias("protocol"), host.alias("addr"), port.alias("port"), (F.col("u") % 20 + 100).alias("pid"), F.concat(F.lit("app"), (F.col("u") % 20).cast("string")).alias("name"), F.lit(None).cast("string").alias("exe_path"))
