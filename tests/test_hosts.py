@@ -17,7 +17,7 @@ from .test_registry import ordered
 USERS = [0, 255, 256, 4096, 4464, 65535, 65536, 70000, 89999, 899999, (1 << 24) - 1]
 SHORT = "'10.0.' || (u // 256) || '.' || (u % 256)"
 WHOLE = "'10.' || (u // 65536) || '.' || (u // 256 % 256) || '.' || (u % 256)"
-NAMES = ["top_talkers", "top_talkers_filtered", "decode_arp", "decode_ipv4", "flow_table", "timeline", "packet_summary", "monitor_events", "capture_pcap", "capture_pcapng", "capture_filtered", "capture_stream"]
+NAMES = ["top_talkers", "top_talkers_filtered", "decode_arp", "decode_ipv4", "flow_table", "timeline", "packet_summary", "monitor_events", "capture_pcap", "capture_pcapng", "capture_filtered", "capture_stream", "json_fields"]
 
 
 def events(folder, users, n=330):
